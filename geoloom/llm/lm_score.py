@@ -37,7 +37,7 @@ HEAD_WORDS = 512
 PER_CLASS = 32
 SPELLING_CLASSES = 32
 HOT_WORDS = 1 << 18
-WINDOW, WIDTH = 16, 192
+WINDOW, WIDTH = 32, 320
 #: Texts are run through the model in groups of about so many bytes.
 GROUP_BYTES = 24 << 20
 WARM_BYTES, WARM_TEXT_BYTES, WARM_TEXTS, WARM_PASSES = 2 << 20, 16 << 10, 2000, 3
@@ -165,6 +165,7 @@ def reader_of(shared) -> Reader:
     if key not in _readers:
         _readers.clear()
         _readers[key] = Reader(words)
+        words.hot = {}  # this process has them in the reader now
     return _readers[key]
 
 
