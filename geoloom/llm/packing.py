@@ -27,6 +27,9 @@ NEARLY_FULL = 1 / 256
 CARRY = 100_000
 #: Pieces a task packs at once.
 LOCAL_PIECES = 1_000_000
+#: A task with at most so many pieces hands each on as a bin of its own: so few
+#: items leave best-fit little choice, and their node has those of FAN_IN tasks.
+FEW_PIECES = 2000
 
 
 def best_fit(sizes: list[int], capacity: int) -> tuple[list[int], list[int], list[int]]:
@@ -65,9 +68,10 @@ def local_pieces(docs: DataFrame, tokenizer_file: str, end_id: int, capacity: in
         first = TaskContext.get().partitionId() << 32
         rows: list[tuple] = []
 
-        def packed():
+        def packed(few: bool):
             nonlocal rows, first
-            bins, offsets, fills = best_fit([r[3] for r in rows], capacity)
+            sizes = [r[3] for r in rows]
+            bins, offsets, fills = (range(len(rows)), [0] * len(rows), sizes) if few else best_fit(sizes, capacity)
             leaf = [first + b for b in bins]
             fill = [fills[b] if o == 0 else None for b, o in zip(bins, offsets, strict=True)]
             first += len(fills)
@@ -84,9 +88,9 @@ def local_pieces(docs: DataFrame, tokenizer_file: str, end_id: int, capacity: in
                         part = raw[at : at + 4 * capacity]
                         rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
             if len(rows) >= LOCAL_PIECES:
-                yield packed()
+                yield packed(False)
         if rows:
-            yield packed()
+            yield packed(first % (1 << 32) == 0 and len(rows) <= FEW_PIECES)
 
     ddl = "doc_id long, piece int, start long, length long, ids_crc32 long, leaf long, offset long, fill long"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ddl)
