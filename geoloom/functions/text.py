@@ -55,7 +55,8 @@ def number_pattern(value: Column) -> Column:
     A dash before it is a sign unless it stands between digits, as in a range.
     """
     whole = F.split(F.regexp_replace(F.abs(value).cast("string"), r"\.0$", ""), r"\.")
-    digits = F.concat(whole[0], F.when(F.size(whole) > 1, F.concat(F.lit("[.,]"), whole[1], F.lit("0*"))).otherwise(F.lit("(?:[.,]0+)?")))
+    thousands = F.lit("(?!,[0-9]{3}(?![0-9]))")  # 42,500 is no 42.5
+    digits = F.concat(whole[0], F.when(F.size(whole) > 1, F.concat(thousands, F.lit("[.,]"), whole[1], F.lit("0*"))).otherwise(F.concat(thousands, F.lit("(?:[.,]0+)?"))))
     sign = F.when(value < 0, F.lit(r"(?<![0-9.,°])[-−]")).otherwise(F.lit(r"(?<![0-9][.,])(?<![0-9])(?<!(?<![0-9°])[-−])"))
     return F.concat(sign, digits, F.lit(r"(?![0-9])(?![.,][0-9])"))
 

@@ -50,7 +50,9 @@ def survivors(records: DataFrame) -> DataFrame:
     than 300 m are ever the same spring, so every proximity cluster folds alone.
     """
     roots = components(proximity_edges(records, SAME_NAME_M))
-    grouped = records.join(roots, records["id"] == roots["node"], "inner").select("id", "ord", "lat", "lng", "norm", "kind", "completeness", "root")
+    # a cluster's root is no node of the table
+    labelled = records.join(roots, records["id"] == roots["node"], "left").withColumn("root", F.coalesce("root", "id"))
+    grouped = labelled.select("id", "ord", "lat", "lng", "norm", "kind", "completeness", "root")
 
     def fold(group: list) -> list[tuple[int, int]]:
         kept: list = []

@@ -40,6 +40,6 @@ def registry_states(events: DataFrame) -> DataFrame:
                 first = min(x for x in (first, days.min()) if x is not None)
                 last = max(x for x in (last, days.max()) if x is not None)
         state.update((first, last, n))
-        yield pd.DataFrame({"spring": [key[0]], "first_seen": [first], "last_seen": [last], "n": [n]})
+        yield pd.DataFrame({"spring": [str(key[0])], "first_seen": [first], "last_seen": [last], "n": [n]})
 
     return events.groupBy("spring").applyInPandasWithState(update, "spring string, first_seen string, last_seen string, n long", "first_seen string, last_seen string, n long", "update", GroupStateTimeout.NoTimeout)
