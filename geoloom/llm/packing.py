@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, utf8
+from .common import bounded_batches, saved, utf8
 from .token_ids import encoder, groups
 
 FAN_IN = 8
@@ -93,7 +93,7 @@ def local_pieces(docs: DataFrame, tokenizer_file: str, end_id: int, capacity: in
             yield packed(first % (1 << 32) == 0 and len(rows) <= FEW_PIECES)
 
     ddl = "doc_id long, piece int, start long, length long, ids_crc32 long, leaf long, offset long, fill long"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ddl)
+    return bounded_batches(docs).select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ddl)
 
 
 def merge_bins(bins: DataFrame, capacity: int, nodes: int) -> DataFrame:

@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "account", "address")
 CUES = ("account", "acct", "iban", "ssn")
@@ -195,4 +197,4 @@ def detect(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), redact: bool =
 
     for name, kind in fields:
         schema = schema.add(name, "string" if kind == pa.string() else "long")
-    return docs.select(*keep, F.col("text").alias("_whole_text")).mapInArrow(run, schema)
+    return bounded_batches(docs).select(*keep, F.col("text").alias("_whole_text")).mapInArrow(run, schema)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import utf8
+from .common import bounded_batches, utf8
 
 FEATURES = ("words", "shout", "exclaim", "pipe", "symbol", "stutter", "fresh", "length", "point", "digit", "lines", "letters")
 #: Share of the diagonal target in each class covariance.
@@ -71,7 +71,7 @@ def with_statistics(docs: DataFrame, keep: list[str]) -> DataFrame:
             stats = pa.array([statistics(t) for t in utf8(batch.column(len(keep)))], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], stats], names=[*names, "stats"])
 
-    return docs.select(*keep, F.col("text").alias("_whole_text")).mapInArrow(run, schema.add("stats", T.ArrayType(T.DoubleType())))
+    return bounded_batches(docs).select(*keep, F.col("text").alias("_whole_text")).mapInArrow(run, schema.add("stats", T.ArrayType(T.DoubleType())))
 
 
 def moments(rows: DataFrame) -> dict[int, tuple[int, np.ndarray, np.ndarray]]:

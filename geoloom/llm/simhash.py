@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, utf8
+from .common import bounded_batches, saved, utf8
 
 SHINGLE = 3
 SEED = 42
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, keep: list[str]) -> DataFrame:
             found = np.array([fingerprint(t) for t in utf8(batch.column(len(keep)))], "u8").view("i8")
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found)], names=[*names, "fp"])
 
-    return docs.select(*keep, F.col("text").alias("_whole_text")).mapInArrow(run, schema.add("fp", "long"))
+    return bounded_batches(docs).select(*keep, F.col("text").alias("_whole_text")).mapInArrow(run, schema.add("fp", "long"))
 
 
 def variants(fps: DataFrame) -> DataFrame:

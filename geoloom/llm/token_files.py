@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import utf8
+from .common import bounded_batches, utf8
 from .token_ids import encoder, groups
 
 #: doc_id is 0 where ``null`` is 1; ``offset`` and ``length`` are bytes of the payload.
@@ -69,7 +69,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str, end_id: i
     size and bytes; an empty table makes a folder without segments.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = bounded_batches(docs).select(F.col("doc_id").cast("long"), "text")
     n = docs.count()
     ids = F.coalesce(F.col("doc_id"), F.lit(0))
     sample = (

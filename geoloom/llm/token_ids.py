@@ -26,10 +26,10 @@ class WordEncoder:
     ``max_words`` bounds the table; when it is full it starts anew.
     """
 
-    def __init__(self, tokenizer_file: str, max_words: int = 800_000):
+    def __init__(self, tokenizer_file: str, max_words: int = 400_000):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(tokenizer_file)
+        self.file, self.tokenizer = tokenizer_file, None
         with open(tokenizer_file) as file:
             model = json.load(file)["model"]
         suffix = model.get("end_of_word_suffix")
@@ -45,7 +45,11 @@ class WordEncoder:
         self.known: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
-        """The library alone."""
+        """The library alone; loaded only where a text needs it."""
+        if self.tokenizer is None:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_file(self.file)
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, new: list[str]) -> None:

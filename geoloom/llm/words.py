@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 #: Distinct keys a task holds before it hands its counts on.
 FLUSH_KEYS = 400_000
 
@@ -42,5 +44,5 @@ def count_keys(docs: DataFrame, split: Callable[[bytes], list[bytes]], column: s
             names=["key", "n"],
         )
 
-    partial = docs.select(column).mapInArrow(run, "key binary, n long")
+    partial = bounded_batches(docs).select(column).mapInArrow(run, "key binary, n long")
     return partial.groupBy("key").agg(F.sum("n").alias("n"))
