@@ -35,15 +35,20 @@ ROUNDING = 1e-9
 def _bucket(ids: np.ndarray, vectors: np.ndarray):
     norms = np.sqrt((vectors * vectors).sum(1))
     order = np.lexsort((ids, -norms))
-    return vectors.shape[1], len(ids), float(norms[order[0]]), ids[order].tobytes(), vectors[order].astype("<i4").tobytes()
+    return vectors.shape[1], len(ids), float(norms[order[0]]), ids[order].tobytes(), _pack(vectors[order])
 
 
 def _queries(ids: np.ndarray, vectors: np.ndarray):
-    return vectors.shape[1], ids.tobytes(), vectors.astype("<i4").tobytes()
+    return vectors.shape[1], ids.tobytes(), _pack(vectors)
 
 
-def _open(raw: bytes, dim: int) -> np.ndarray:
-    return np.frombuffer(raw, "<i4").reshape(-1, dim)
+def _pack(vectors: np.ndarray) -> bytes:
+    """The components as 32-bit integers, or as doubles where one is too large for that."""
+    return vectors.astype("<i4" if np.abs(vectors).max(initial=0) < 2**31 else "<f8").tobytes()
+
+
+def _open(raw: bytes, dim: int, count: int) -> np.ndarray:
+    return np.frombuffer(raw, "<i4" if len(raw) == 4 * dim * count else "<f8").reshape(-1, dim).astype("f8")
 
 
 def survivors(q: np.ndarray, bound: float, unit: np.ndarray, norms: np.ndarray) -> np.ndarray:
@@ -74,13 +79,14 @@ def search(queries: DataFrame, base: DataFrame, k: int = 5) -> DataFrame:
     Both tables: vec_id, v (array of integers).  Rows with the query's id are
     its own and no candidates; a repeated query row is answered once, repeated
     other rows are candidates each; vectors of another length take no part.
+    Products are exact while their sums stay below 2^53.
     """
     spark = base.sparkSession
     n = base.count()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     count = max(1, -(-n // BUCKET))
-    norm = F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x * x)
+    norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     ordered = base.repartitionByRange(count, norm.desc(), F.xxhash64("vec_id"))
     buckets = saved(blocks(ordered, BUCKET, "block long, dim int, n int, longest double, ids binary, vectors binary", _bucket), "buckets")
     asked = queries.dropDuplicates(["vec_id", "v"]).coalesce(max(1, -(-n // (QUERY_BLOCK * 64))))
@@ -89,8 +95,10 @@ def search(queries: DataFrame, base: DataFrame, k: int = 5) -> DataFrame:
     def seed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ids, vectors = np.frombuffer(row["ids"], "i8"), _open(row["vectors"], row["dim"]).astype("f8")
-                q_ids, q = np.frombuffer(row["q_ids"], "i8"), _open(row["q_vectors"], row["dim"]).astype("f8")
+                ids = np.frombuffer(row["ids"], "i8")
+                vectors = _open(row["vectors"], row["dim"], len(ids))
+                q_ids = np.frombuffer(row["q_ids"], "i8")
+                q = _open(row["q_vectors"], row["dim"], len(q_ids))
                 bounds = np.full(len(q), -np.inf)
                 for i in range(len(q)):
                     scores = (vectors @ q[i])[ids != q_ids[i]]
@@ -106,8 +114,10 @@ def search(queries: DataFrame, base: DataFrame, k: int = 5) -> DataFrame:
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ids, vectors = np.frombuffer(row["ids"], "i8"), _open(row["vectors"], row["dim"]).astype("f8")
-                q_ids, q = np.frombuffer(row["q_ids"], "i8"), _open(row["q_vectors"], row["dim"]).astype("f8")
+                ids = np.frombuffer(row["ids"], "i8")
+                vectors = _open(row["vectors"], row["dim"], len(ids))
+                q_ids = np.frombuffer(row["q_ids"], "i8")
+                q = _open(row["q_vectors"], row["dim"], len(q_ids))
                 bounds = np.frombuffer(row["bounds"], "f8")
                 norms = np.sqrt((vectors * vectors).sum(1))
                 unit = vectors / np.where(norms, norms, 1)[:, None]

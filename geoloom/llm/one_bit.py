@@ -71,23 +71,36 @@ def index(rows: DataFrame, means: dict[int, np.ndarray]) -> DataFrame:
         fit = np.abs(turned).sum(1) / np.where(length, length, 1) / np.sqrt(turned.shape[1])
         codes = np.packbits(turned > 0, axis=1)
         scalars = np.stack([length, np.where(length, fit, 1.0)], 1)
-        return dim, ids.tobytes(), codes.tobytes(), scalars.astype("<f4").tobytes(), vectors.astype("<f4").tobytes()
+        return dim, ids.tobytes(), codes.tobytes(), scalars.astype("<f8").tobytes(), _pack(vectors)
 
     return blocks(rows, BLOCK, "block long, dim int, ids binary, codes binary, scalars binary, vectors binary", make)
 
 
+def _pack(vectors: np.ndarray) -> bytes:
+    """The components as floats where that loses nothing, else as doubles."""
+    short = vectors.astype("<f4")
+    return (short if (short == vectors).all() else vectors.astype("<f8")).tobytes()
+
+
+def _open(raw: bytes, dim: int, count: int) -> np.ndarray:
+    return np.frombuffer(raw, "<f4" if len(raw) == 4 * dim * count else "<f8").reshape(-1, dim).astype("f8")
+
+
 def estimate(q: np.ndarray, mean: np.ndarray, codes: np.ndarray, scalars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(queries x vectors) estimates of the inner products, and their error bounds."""
     dim = len(mean)
     bits = code_bits(dim)
-    turned = (q @ rotation(dim)).astype("f4")
+    turned = q @ rotation(dim)
+    size = np.sqrt((turned * turned).sum(1))[:, None]
+    # the products with the bits are of unit length, so 32 bits do for vectors of any length
+    unit = (turned / np.where(size, size, 1)).astype("f4")
     ones = np.unpackbits(codes, axis=1).astype("f4")
     # signs are 2 * bit - 1
-    signed = (2 * (turned @ ones.T) - turned.sum(1)[:, None]) / np.float32(np.sqrt(bits))
+    signed = (2 * (unit @ ones.T) - unit.sum(1)[:, None]) / np.float32(np.sqrt(bits))
     length, fit = scalars[:, 0], scalars[:, 1]
-    value = signed * (length / fit)[None, :] + (q @ mean).astype("f4")[:, None]
-    spread = length * np.sqrt(np.maximum(1 - fit * fit, 0)) / fit / np.float32(np.sqrt(bits - 1))
-    return value, EPSILON * np.sqrt((turned * turned).sum(1))[:, None] * spread[None, :]
+    value = size * signed * (length / fit)[None, :] + (q @ mean)[:, None]
+    spread = length * np.sqrt(np.maximum(1 - fit * fit, 0)) / fit / np.sqrt(bits - 1)
+    return value, EPSILON * size * spread[None, :]
 
 
 def search(queries: DataFrame, base: DataFrame, k: int = 20) -> DataFrame:
@@ -104,15 +117,17 @@ def search(queries: DataFrame, base: DataFrame, k: int = 20) -> DataFrame:
     means = mean_vectors(base)
     codes = saved(index(base.coalesce(max(1, -(-n // BLOCK))), means), "codes")
     asked = queries.dropDuplicates(["vec_id", "v"]).coalesce(max(1, -(-n // (QUERY_BLOCK * 32))))
-    asked = blocks(asked, QUERY_BLOCK, "q_block long, dim int, q_ids binary, q_vectors binary", lambda ids, v: (v.shape[1], ids.tobytes(), v.astype("<f4").tobytes()))
+    asked = blocks(asked, QUERY_BLOCK, "q_block long, dim int, q_ids binary, q_vectors binary", lambda ids, v: (v.shape[1], ids.tobytes(), _pack(v)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 dim = row["dim"]
-                ids, vectors = np.frombuffer(row["ids"], "i8"), np.frombuffer(row["vectors"], "<f4").reshape(-1, dim).astype("f8")
-                bits, scalars = np.frombuffer(row["codes"], "u1").reshape(len(ids), -1), np.frombuffer(row["scalars"], "<f4").reshape(-1, 2)
-                q_ids, q = np.frombuffer(row["q_ids"], "i8"), np.frombuffer(row["q_vectors"], "<f4").reshape(-1, dim).astype("f8")
+                ids = np.frombuffer(row["ids"], "i8")
+                vectors = _open(row["vectors"], dim, len(ids))
+                bits, scalars = np.frombuffer(row["codes"], "u1").reshape(len(ids), -1), np.frombuffer(row["scalars"], "<f8").reshape(-1, 2)
+                q_ids = np.frombuffer(row["q_ids"], "i8")
+                q = _open(row["q_vectors"], dim, len(q_ids))
                 out = []
                 for at in range(0, len(q), 128):
                     value, bound = estimate(q[at : at + 128], means[dim], bits, scalars)
@@ -121,7 +136,8 @@ def search(queries: DataFrame, base: DataFrame, k: int = 20) -> DataFrame:
                         least = value[i] - bound[i]
                         least = np.partition(least, len(least) - k)[len(least) - k] if len(least) > k else -np.inf
                         near = np.flatnonzero((value[i] + bound[i] >= least) & (value[i] > -np.inf))
-                        scores = vectors[near] @ q[at + i]
+                        # summed row by row: equal vectors have equal scores
+                        scores = (vectors[near] * q[at + i]).sum(1)
                         found = top(scores, ids[near], k)
                         out.append((np.full(len(found), q_ids[at + i]), ids[near][found], scores[found]))
                 yield answer(out, "f8")

@@ -278,6 +278,28 @@ def test_one_bit_recall(spark, monkeypatch):
     assert all(r["score"] == pytest.approx(scores.get((r["query_id"], r["vec_id"]), r["score"]), abs=1e-12) for r in got)
 
 
+def test_searches_of_wide_components(spark):
+    rows = [(0, [1e7, 1.0]), (1, [1e7, 2.0]), (2, [-1e7, 0.0]), (3, [0.5, 0.5]), (4, [0.1, 0.7])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    with_short = table.where("vec_id > 2").unionByName(spark.createDataFrame([(0, [0.25, -0.5])], table.schema))
+    # products of the long vectors exceed 2^53: only their order is certain
+    found = exact_topk.integer_vectors(table)
+    got = exact_topk.search(found.where("vec_id = 0"), found, 4).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == [1, 3, 4, 2]
+    found = exact_topk.integer_vectors(with_short)
+    assert {tuple(r) for r in exact_topk.search(found.where("vec_id = 0"), found, 5).collect()} == brute(found, list, 50, 5)
+    found = one_bit.searchable(table)
+    got = one_bit.search(found.where("vec_id = 0"), found, 4).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(1, 1e14 + 2), (3, 5e6 + 0.5), (4, 1e6 + 0.7), (2, -1e14)]
+
+
+def test_equal_vectors_go_by_id(spark):
+    same = [0.1 * i for i in range(13)]
+    table = one_bit.searchable(spark.createDataFrame([(i, same) for i in range(60)], "vec_id long, embedding array<double>"))
+    got = one_bit.search(table.where("vec_id = 0"), table, 20).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == list(range(1, 21)) and len({r["score"] for r in got}) == 1
+
+
 def test_searches_of_nothing(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert exact_topk.search(exact_topk.integer_vectors(none), exact_topk.integer_vectors(none)).count() == 0
