@@ -52,3 +52,13 @@ def search(springs: DataFrame, filters: Filters, near: tuple[float, float] | Non
         metres = half_up(distance_m(F.col("lat"), F.col("lng"), F.lit(near[0]), F.lit(near[1]))).cast("long")
         return found.withColumn("metres", metres).orderBy("metres", "id").limit(limit)
     return found.orderBy(F.desc("completeness"), "id").limit(limit)
+
+
+def publish_order(records: DataFrame, country: str = "country", name: str = "name") -> DataFrame:
+    """By country, then name, as a reader of any script expects; records without a name last.
+
+    One sort by range.  A missing country counts as empty; U+FFFF collates
+    after every name.
+    """
+    collated = lambda column, empty: F.collate(F.coalesce(F.nullif(F.col(column), F.lit("")), F.lit(empty)), "UNICODE")
+    return records.orderBy(collated(country, ""), collated(name, "\uffff"))
