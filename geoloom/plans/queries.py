@@ -430,3 +430,6 @@ def polygon_lookup(spark, sf_dir):
         rows += [(poly, order, ring, *a, *b, *boxes[poly]) for a, b in zip(corners, corners[1:], strict=False)]
     edges = spark.createDataFrame(rows, "poly string, ord int, ring int, lat1 double, lng1 double, lat2 double, lng2 double, west double, south double, east double, north double")
     return spatial.polygon_of(springs(spark, sf_dir), edges, "id").select("id", "poly")
+
+
+from . import field_queries  # noqa: E402, F401  registers its own
