@@ -292,10 +292,10 @@ def overlay_errors(spark, sf_dir):
     return overlay.errors(_claims(spark, sf_dir), springs(spark, sf_dir).where("id % 6 <> 1"))
 
 
-@query("""SELECT l_suppkey, CASE WHEN max(l_quantity) - min(l_quantity) <= 45 THEN arg_min(l_quantity, (l_orderkey, l_linenumber)) END AS agreed, count(l_quantity) AS n FROM lineitem WHERE l_linenumber = 7 GROUP BY l_suppkey""")
+@query("""SELECT l_orderkey, CASE WHEN max(l_quantity) - min(l_quantity) <= 20 THEN arg_min(l_quantity, (l_linenumber, l_partkey, l_quantity)) END AS agreed, count(l_quantity) AS n FROM lineitem GROUP BY l_orderkey""")
 def agreement_fill(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber = 7").withColumn("at", F.struct("l_orderkey", "l_linenumber"))
-    return overlay.agreed(rows, "l_suppkey", "l_quantity", "at", 45)
+    rows = table(spark, sf_dir, "lineitem").withColumn("at", F.struct("l_linenumber", "l_partkey", "l_quantity"))
+    return overlay.agreed(rows, "l_orderkey", "l_quantity", "at", 20)
 
 
 # Events
