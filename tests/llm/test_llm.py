@@ -453,3 +453,42 @@ def test_pipeline_odd(spark, odd, empty):
             out.count()
             if out.columns == corpus_pipeline.COLUMNS:
                 frame = spark.createDataFrame(out.collect(), frame.schema)
+
+
+def five_word_closure(texts):
+    """The smallest place of each text's group, by all pairs of five-word shingle sets."""
+    sets = []
+    for t in texts:
+        words = (t or "").encode().lower().split()
+        sets.append({tuple(words[i : i + 5]) for i in range(len(words) - 4)} or {tuple(words)})
+    root = list(range(len(texts)))
+    for _ in range(2):  # until nothing changes, for these small groups
+        for i, x in enumerate(sets):
+            for j in range(i):
+                if 5 * len(x & sets[j]) >= 4 * len(x | sets[j]):
+                    low = min(root[i], root[j])
+                    root = [low if r in (root[i], root[j]) else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("run", [32, 2])
+def test_pipeline_near_copies(spark, monkeypatch, run):
+    """Pairs at 0.8 of any bit distance are found, with a small RUN also the way for long runs."""
+    import corpus_pipeline
+    from geoloom.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "RUN", run)
+    rng = random.Random(run)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("doc_id < 150").collect()]
+    for k in range(30):
+        words = list(base)
+        for at in rng.sample(range(200), k % 8 + 1):
+            words[at] = f"x{k}-{at}"
+        texts.append(" ".join(words))
+    texts += ["", None, "a b", "A  b", "a b c"]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    expected = {i for i, r in enumerate(five_word_closure(texts)) if i == r}
+    assert {r["doc_id"] for r in corpus_pipeline.keep_one_copy(spark, docs, SMALL).collect()} == expected
+    prints = closure(brute_components(texts), list(range(len(texts))))
+    assert expected < set(prints)  # two bits alone miss some
