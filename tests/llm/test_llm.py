@@ -492,3 +492,17 @@ def test_pipeline_near_copies(spark, monkeypatch, run):
     assert {r["doc_id"] for r in corpus_pipeline.keep_one_copy(spark, docs, SMALL).collect()} == expected
     prints = closure(brute_components(texts), list(range(len(texts))))
     assert expected < set(prints)  # two bits alone miss some
+
+
+def test_pipeline_rows_of_one_id(spark):
+    """One id on different texts, and near copies without ids: one row a group stays."""
+    import corpus_pipeline
+
+    long = [f"w{i}" for i in range(60)]
+    near = [" ".join([*long[:k], "other", *long[k + 1 :]]) for k in (0, 59)]
+    rows = [(1, "one text"), (1, "another text"), (2, "another text"), (3, "A"), (3, "again A"), (None, near[0]), (None, near[1]), (None, "alone"), (None, "alone"), (4, "alone")]
+    docs = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.keep_one_copy(spark, docs, SMALL).collect()), key=repr)
+    nameless = [r for r in got if r[0] is None]
+    assert len(nameless) == 1 and nameless[0][1] in near
+    assert [r for r in got if r[0] is not None] == [(1, "another text"), (1, "one text"), (3, "A"), (3, "again A"), (4, "alone")]
