@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN
+from .common import WORD_PATTERN, saved
 
 WEIGHTS = (5, 2, 1)
 #: Relative weight at the start, middle and end of training, for the sources of
@@ -108,3 +108,21 @@ def training_order(mixed: DataFrame) -> DataFrame:
     """One row per copy taken, with ``mix_position``, sorted by range on it."""
     rows = mixed.withColumn("mix_position", F.explode("mix_positions")).drop("mix_positions")
     return rows.repartitionByRange(F.col("mix_position"), F.col("doc_id")).sortWithinPartitions("mix_position", "doc_id")
+
+
+def with_ranks(mixed: DataFrame) -> DataFrame:
+    """``mixed`` without its text, with ``mix_ranks``: the place of each copy in the training order, from 0.
+
+    Whole documents are sorted; a table of partition sizes turns places inside
+    a partition into places in the order.
+    """
+    held = saved(mixed.withColumn("mix_row", F.monotonically_increasing_id()), "mixed")
+    part = F.col("mix_at").bitwiseAND(F.lit((1 << 33) - 1))
+    order = training_order(held).withColumn("mix_at", F.monotonically_increasing_id())
+    order = saved(order.select("mix_row", "mix_position", F.spark_partition_id().alias("mix_part"), part.alias("mix_in"), F.octet_length("text").alias("bytes")), "order")
+    sizes = order.groupBy("mix_part").agg(F.count("*").alias("n"))
+    # one row a partition, so this window is small
+    before = sizes.select("mix_part", (F.sum("n").over(W.orderBy("mix_part")) - F.col("n")).alias("before"))
+    copies = order.join(F.broadcast(before), "mix_part").groupBy(F.col("mix_row").alias("_row")).agg(F.array_sort(F.collect_list(F.col("before") + F.col("mix_in"))).alias("mix_ranks"))
+    none = F.array().cast("array<bigint>")
+    return held.drop("text").join(copies, F.col("mix_row") == F.col("_row"), "left").withColumn("mix_ranks", F.coalesce("mix_ranks", none)).drop("mix_row", "_row")

@@ -27,14 +27,16 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per document: what the mix takes of it."""
+    """One row per document: what the mix takes of it, and where its copies stand in training."""
     mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
-    return mixed.select(
+    return mixing.with_ranks(mixed).select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("mix_size").alias("size"),
         F.col("mix_source_size").alias("source_size"),
         F.col("mix_target").alias("target"),
         F.col("mix_taken").cast("long").alias("taken"),
+        F.col("mix_positions").alias("positions"),
+        F.col("mix_ranks").alias("ranks"),
     )
 
 

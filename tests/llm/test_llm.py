@@ -506,3 +506,11 @@ def test_pipeline_rows_of_one_id(spark):
     nameless = [r for r in got if r[0] is None]
     assert len(nameless) == 1 and nameless[0][1] in near
     assert [r for r in got if r[0] is not None] == [(1, "another text"), (1, "one text"), (3, "A"), (3, "again A"), (4, "alone")]
+
+
+def test_op2_returns_the_order(spark):
+    got = queries.op2_mix(spark, SMALL).collect()
+    copies = sorted((k, p) for r in got for k, p in zip(r["ranks"], r["positions"], strict=True))
+    assert [k for k, _ in copies] == list(range(len(copies))) and len(copies) > 100
+    assert [p for _, p in copies] == sorted(p for _, p in copies)
+    assert all(len(r["ranks"]) * r["size"] == r["taken"] for r in got)
