@@ -69,6 +69,17 @@ def utf8(column) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+#: Bytes of a key that may be broadcast: the hot table has at most so many a row.
+HOT_KEY_BYTES = 64
+
+
+def short_hot_split(table: DataFrame, weight: str, limit: int) -> tuple[DataFrame, DataFrame]:
+    """``hot_split`` of the keys of at most ``HOT_KEY_BYTES``; longer ones are all in the rest."""
+    short = F.octet_length("key") <= HOT_KEY_BYTES
+    hot, rest = hot_split(table.where(short), weight, limit)
+    return hot, rest.unionByName(table.where(~short))
+
+
 def hot_split(table: DataFrame, weight: str, limit: int) -> tuple[DataFrame, DataFrame]:
     """Split a (key, weight) table into its heaviest rows and the rest.
 

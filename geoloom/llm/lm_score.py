@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_split, saved, utf8
+from .common import saved, short_hot_split, utf8
 from .gru import F4, Gru, Streams
 from .words import count_keys
 
@@ -100,7 +100,7 @@ def lexicon(learning: DataFrame) -> tuple[Lexicon, DataFrame]:
     sums = np.zeros((SPELLING_CLASSES, 2))
     for r in per_class:
         sums[r["c"]] = r["n"], r["words"]
-    hot, rest = hot_split(table, "n", HOT_WORDS)
+    hot, rest = short_hot_split(table, "n", HOT_WORDS)
     known = hot.toArrow()
     pairs = sorted(zip(known["n"].to_pylist(), known["key"].to_pylist(), strict=True), key=lambda x: (-x[0], x[1]))
     total, distinct = int(sums[:, 0].sum()) + ends, int(sums[:, 1].sum()) + bool(ends)

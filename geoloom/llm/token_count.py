@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_split, saved, utf8
+from .common import saved, short_hot_split, utf8
 from .words import count_keys
 
 BLANK = "▁"
@@ -77,7 +77,7 @@ def count_tokens(docs: DataFrame, model_file: str, limit: int = 4096) -> DataFra
     spark = docs.sparkSession
     check_vocabulary(load_model(model_file))
     table = saved(piece_counts(count_keys(docs, pretokens), model_file), "pretokens")
-    hot, rest = hot_split(table, "n", HOT_PRETOKENS)
+    hot, rest = short_hot_split(table, "n", HOT_PRETOKENS)
     known = hot.select("key", "pieces").toArrow()
     lookup = spark.sparkContext.broadcast(dict(zip(known["key"].to_pylist(), known["pieces"].to_pylist(), strict=True)))
 

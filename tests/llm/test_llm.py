@@ -514,3 +514,19 @@ def test_op2_returns_the_order(spark):
     assert [k for k, _ in copies] == list(range(len(copies))) and len(copies) > 100
     assert [p for _, p in copies] == sorted(p for _, p in copies)
     assert all(len(r["ranks"]) * r["size"] == r["taken"] for r in got)
+
+
+def test_hot_keys_are_short(spark, monkeypatch):
+    """Texts without blanks are one pre-token each and stay out of the broadcast table."""
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    model, sent = token_count.load_model(path), []
+    texts = ["漢字" * 3000, "QUJD" * 4000, "QUJD" * 4000, "a b", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    send = type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(value) or send(self, value))
+    got = {r["doc_id"]: r["n_tokens"] for r in token_count.count_tokens(docs, path).collect()}
+    assert got == {i: len(model.encode(t or "")) for i, t in enumerate(texts)}
+    lm = {r["doc_id"]: r["n_known"] for r in lm_score.score(docs, F.lit(False)).collect()}
+    assert lm == {0: 2, 1: 2, 2: 2, 3: 3, 4: 1}
+    tables = [x if isinstance(x, dict) else x.hot for x in sent if isinstance(x, (dict, lm_score.Lexicon))]
+    assert len(tables) >= 2 and all(len(k or b"") <= 64 for t in tables for k in t)
