@@ -7,50 +7,75 @@ spelling classes; within one of them a word's share is (count + 0.1) of the
 class's counts + 0.1 * (words + 1), so the probabilities of all events add up to
 at most 1.
 
-Training: one task warms up on a bounded sample (``WARM_BYTES``), then every
-task continues from there over all its learning rows, and the parameters are
-averaged by tokens, in two levels.  Scoring carries the state through whole
-documents.  Counts of the most frequent words (``HOT_WORDS``) are looked up in
-the map tasks; rarer words meet the count table in an equi-join.
+Words are counted in one pass; a second pass writes each document's codes (two
+bytes a token) and its rarer words, and everything after it reads these.  Counts
+of the most frequent words (``HOT_WORDS``) are looked up in the map tasks; rarer
+words meet the count table in an equi-join.
+
+Training: learning rows are dealt by a hash to shards of about ``SHARD_TOKENS``
+tokens.  The first shard trains from the class frequencies, every other one
+continues from there, and the parameters are averaged by tokens in a tree.  So
+scores do not depend on how the rows lie in files and tasks.  Scoring carries
+the state through whole documents.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
+import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, short_hot_split, utf8
+from .common import bounded_batches, hot_split, saved, utf8
 from .gru import F4, Gru, Streams
 from .words import count_keys
 
 #: The end of a text, counted as a token; no word holds a blank.
 END = b" end"
+#: Starts the key of a long word.
+LONG = b" long"
 HEAD_WORDS = 512
 PER_CLASS = 32
 SPELLING_CLASSES = 32
 HOT_WORDS = 1 << 18
+#: Words of more bytes are known by their hash only, so no key is longer.
+LONGEST_WORD = 64
 WINDOW, WIDTH = 32, 320
-#: Texts are run through the model in groups of about so many bytes.
-GROUP_BYTES = 24 << 20
-WARM_BYTES, WARM_TEXT_BYTES, WARM_TEXTS, WARM_PASSES = 2 << 20, 16 << 10, 2000, 3
+#: Tokens that go through the model in one group of streams.
+GROUP_TOKENS = 8 << 20
+SHARD_TOKENS = 2 << 20
+#: Streams of a training shard, and the tokens each has at least while there are fewer.
+SHARD_WIDTH, STREAM_TOKENS = 256, 4096
+FIRST_PASSES = 3
+#: Models that one node of the averaging tree takes.
+FAN_IN = 32
+#: Words a task remembers the entry of, besides the hot ones.
+REMEMBERED = 1 << 19
 RATE = 0.01
 SMOOTH = 0.1
 
 
 def split(text: bytes) -> list[bytes]:
-    return text.lower().split()  # bytes: A-Z and the ASCII white space
+    words = text.lower().split()  # bytes: A-Z and the ASCII white space
+    if len(text) > LONGEST_WORD and len(max(words, key=len, default=b"")) > LONGEST_WORD:
+        words = [w if len(w) <= LONGEST_WORD else LONG + hashlib.md5(w).digest() for w in words]
+    return words
 
 
 def spelling(word: bytes) -> int:
     """The spelling class of a tail word: script, end mark, length and first letter's half."""
+    if word[:1] == b" ":
+        return 31  # a long word
     size = len(word)
     last = word[-1]
     mark = 1 if last in b".,;:!?" else 0
@@ -74,6 +99,8 @@ class Lexicon:
     #: Per spelling class: log10 of counts + 0.1 * (words + 1) of its tail words.
     class_log: np.ndarray
     head: int
+    #: Tells lexicons apart in worker processes that live on.
+    mark: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     @property
     def base_log(self) -> float:
@@ -86,8 +113,7 @@ class Lexicon:
 
 def lexicon(learning: DataFrame) -> tuple[Lexicon, DataFrame]:
     """The lexicon and the table (key, n) of words that it leaves out."""
-    table = saved(count_keys(learning, split), "words")
-    ends = learning.count()
+    table = saved(count_keys(learning, split, each=END), "words")
 
     def classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((SPELLING_CLASSES, 2), np.int64)
@@ -96,11 +122,14 @@ def lexicon(learning: DataFrame) -> tuple[Lexicon, DataFrame]:
             np.add.at(sums, [spelling(w) for w in batch.column(0).to_pylist()], np.stack([n, np.ones_like(n)], 1))
         yield pa.record_batch([pa.array(np.arange(SPELLING_CLASSES), pa.int32()), pa.array(sums[:, 0]), pa.array(sums[:, 1])], names=["c", "n", "words"])
 
+    is_end = F.col("key") == F.lit(bytearray(END))
+    ends = (table.where(is_end).select("n").first() or (0,))[0]
+    table = table.where(~is_end)
     per_class = table.mapInArrow(classes, "c int, n long, words long").groupBy("c").agg(F.sum("n").alias("n"), F.sum("words").alias("words")).collect()
     sums = np.zeros((SPELLING_CLASSES, 2))
     for r in per_class:
         sums[r["c"]] = r["n"], r["words"]
-    hot, rest = short_hot_split(table, "n", HOT_WORDS)
+    hot, rest = hot_split(table, "n", HOT_WORDS)
     known = hot.toArrow()
     pairs = sorted(zip(known["n"].to_pylist(), known["key"].to_pylist(), strict=True), key=lambda x: (-x[0], x[1]))
     total, distinct = int(sums[:, 0].sum()) + ends, int(sums[:, 1].sum()) + bool(ends)
@@ -114,6 +143,20 @@ def lexicon(learning: DataFrame) -> tuple[Lexicon, DataFrame]:
     return Lexicon(total, distinct, hot_words, np.log10(sums[:, 0] + SMOOTH * (sums[:, 1] + 1)), head), rest
 
 
+class _Entries(dict):
+    """Entry numbers of the hot words; of others the number of their spelling class, remembered within a bound."""
+
+    def __init__(self, hot: dict[bytes, int], first_class: int):
+        super().__init__(hot)
+        self.first_class, self.most = first_class, len(hot) + REMEMBERED
+
+    def __missing__(self, word: bytes) -> int:
+        number = self.first_class + spelling(word)
+        if len(self) < self.most:
+            self[word] = number
+        return number
+
+
 class Reader:
     """Words to entry numbers; entry arrays hold what the model and the base need.
 
@@ -123,45 +166,29 @@ class Reader:
 
     def __init__(self, lexicon: Lexicon):
         heads = max(1, -(-lexicon.head // PER_CLASS))
-        self.n_head, self.first_tail, self.n_hot = heads * PER_CLASS, heads, len(lexicon.hot)
-        self.index = {word: i for i, word in enumerate(lexicon.hot)}
+        self.n_head, self.n_hot = heads * PER_CLASS, len(lexicon.hot)
+        self.index = _Entries({word: i for i, word in enumerate(lexicon.hot)}, self.n_hot)
         number = np.array([k for k, _ in lexicon.hot.values()])
         count = np.array([n for _, n in lexicon.hot.values()])
         tail = np.arange(SPELLING_CLASSES)
         kind = np.array([0 if k >= 0 else spelling(w) for w, k in zip(lexicon.hot, number.tolist(), strict=True)])
         logs = np.log10(count + SMOOTH)
-        self.number = np.concatenate([np.where(number >= 0, number, self.n_head + kind), self.n_head + tail])
+        self.number = np.concatenate([np.where(number >= 0, number, self.n_head + kind), self.n_head + tail]).astype("<u2")
         self.base = np.concatenate([logs, np.zeros(SPELLING_CLASSES)])
         self.inside = np.concatenate([np.where(number >= 0, 0.0, logs - lexicon.class_log[kind]), -lexicon.class_log])
         self.known = np.concatenate([count > 0, np.zeros(SPELLING_CLASSES, bool)])
 
     def entries(self, words: list[bytes]) -> np.ndarray:
-        found = list(map(self.index.get, words))
-        if None in found:
-            found = [self.n_hot + spelling(w) if f is None else f for w, f in zip(words, found, strict=True)]
-        return np.array(found, np.int32)
-
-    def targets(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Class and member of each model number."""
-        head = codes < self.n_head
-        return np.where(head, codes // PER_CLASS, codes - self.n_head + self.first_tail), np.where(head, codes % PER_CLASS, 0)
-
-    def inputs(self, codes: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The model's input at each place, the word before (an end at first), and 0 where a text starts."""
-        before, fresh = np.zeros_like(codes), np.ones(len(codes), F4)
-        before[1:] = codes[:-1]
-        starts = np.cumsum(lengths) - lengths
-        before[starts], fresh[starts] = 0, 0  # number 0 is the end
-        return before, fresh
+        return np.fromiter(map(self.index.__getitem__, words), np.int32, len(words))
 
 
-_readers: dict[int, Reader] = {}
+_readers: dict[str, Reader] = {}
 
 
 def reader_of(shared) -> Reader:
     """The worker process's reader of a broadcast lexicon, kept between tasks."""
     words = shared.value
-    key = id(words)
+    key = words.mark
     if key not in _readers:
         _readers.clear()
         _readers[key] = Reader(words)
@@ -169,48 +196,81 @@ def reader_of(shared) -> Reader:
     return _readers[key]
 
 
-def _windows(codes: np.ndarray, lengths: np.ndarray, reader: Reader):
-    before, fresh = reader.inputs(codes, lengths)
-    cls, member = reader.targets(codes)
+def _inputs(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The model's input at each place, the word before (an end at first), and 0 where a text starts."""
+    before, fresh = np.zeros_like(codes), np.ones(len(codes), F4)
+    before[1:] = codes[:-1]
+    before[starts], fresh[starts] = 0, 0  # number 0 is the end
+    return before, fresh
+
+
+def train(net: Gru, texts: list[np.ndarray], rate: float) -> int:
+    """One pass over the codes of ``texts``; the number of tokens.
+
+    The texts stand end to end in as many streams of one length as
+    ``SHARD_WIDTH`` allows.  A stream's start may cut a text; there the state
+    starts anew, as it does with each text.
+    """
+    lengths = np.array([len(t) for t in texts])
+    codes = np.concatenate(texts).astype(np.int32)
+    total = len(codes)
+    width = max(1, min(SHARD_WIDTH, total // STREAM_TOKENS))
+    steps = -(-total // width)
+    before, fresh = _inputs(codes, np.cumsum(lengths) - lengths)
+    fresh[::steps] = 0
+    cls, member = targets(net, codes)
+    live = np.ones(steps * width, bool)
+    live[total:] = False
+
+    def streams(x: np.ndarray) -> np.ndarray:
+        return np.append(x, np.zeros(steps * width - total, x.dtype)).reshape(width, steps).T
+
+    x, fresh, cls, member, live = streams(before), streams(fresh), streams(cls), streams(member), live.reshape(width, steps).T
+    h = np.zeros((net.hidden, width), F4)
+    for at in range(0, steps, WINDOW):
+        part = slice(at, at + WINDOW)
+        h = net.learn(x[part], fresh[part], h, cls[part], member[part], live[part], rate * min(1.0, width / 32))
+    return total
+
+
+def targets(net: Gru, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Class and member of each model number."""
+    n_head = net.heads * net.per_class
+    head = codes < n_head
+    return np.where(head, codes // net.per_class, codes - n_head + net.heads), np.where(head, codes % net.per_class, 0)
+
+
+def log_sums(net: Gru, texts: list[np.ndarray]) -> np.ndarray:
+    """The natural-log probability of each text's codes, the state carried through the whole text."""
+    lengths = np.array([len(t) for t in texts])
+    codes = np.concatenate(texts).astype(np.int32)
+    starts = np.cumsum(lengths) - lengths
+    before, fresh = _inputs(codes, starts)
+    cls, member = targets(net, codes)
+    logs, h = np.zeros(len(codes)), None
     for places in Streams(lengths, WIDTH).windows(WINDOW):
         live = places >= 0
         at = np.where(live, places, 0)
-        yield at, live, before[at], np.where(live, fresh[at], F4(1)), cls[at], member[at]
-
-
-def train(net: Gru, reader: Reader, texts: list[bytes], rate: float) -> int:
-    """One pass over ``texts``; the number of tokens."""
-    found = [reader.number[reader.entries(split(t) + [END])] for t in texts]
-    lengths = np.array([len(f) for f in found])
-    codes = np.concatenate(found)
-    h = None
-    for _, live, x, fresh, cls, member in _windows(codes, lengths, reader):
-        h = np.zeros((x.shape[1], net.shape[4]), F4) if h is None else h[: x.shape[1]]
-        h, _ = net.learn(x, fresh, h, cls, member, live, rate * min(1.0, x.shape[1] / 32))
-    return len(codes)
-
-
-def _grouped(texts: Iterator[bytes], size: int) -> Iterator[list[bytes]]:
-    held, total = [], 0
-    for t in texts:
-        held.append(t)
-        total += len(t) + 8
-        if total >= size:
-            yield held
-            held, total = [], 0
-    if held:
-        yield held
+        h = np.zeros((net.hidden, at.shape[1]), F4) if h is None else h[:, : at.shape[1]]
+        found, h = net.score(before[at], fresh[at], h, cls[at], member[at])
+        logs[places[live]] = found[live]
+    return np.add.reduceat(logs, starts)
 
 
-def fit(learning: DataFrame, words: Lexicon) -> np.ndarray:
-    """The averaged parameters after one pass over all learning rows."""
-    spark = learning.sparkSession
-    shared = spark.sparkContext.broadcast(words)
-    n = learning.count()
+def _code_lists(batch_column) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), "<u2") for x in batch_column]
+
+
+def fit(coded: DataFrame, words: Lexicon) -> np.ndarray:
+    """The averaged parameters after one pass over the codes of all learning rows.
+
+    ``coded``: doc_id and codes of the learning rows.  A shard is as long as its
+    texts make it; only rows of one id and one text are sure to share theirs.
+    """
     net = words.network()
     # start from the class frequencies
     p = net.views(net.flat)
-    counts = np.zeros(net.shape[2] * PER_CLASS)
+    counts = np.zeros(net.heads * PER_CLASS)
     for number, k in words.hot.values():
         if number >= 0:
             counts[number] = k
@@ -218,130 +278,153 @@ def fit(learning: DataFrame, words: Lexicon) -> np.ndarray:
     tails = 10.0**words.class_log
     p["c"][:] = np.log(np.concatenate([counts.sum(1), tails]))
     p["v"][:] = np.log(counts)
-    start = net.flat
-    if not n:
-        return start
-
-    warm = learning.where(F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.octet_length("text")), F.lit(max(1, n // WARM_TEXTS))) == 0).where(F.octet_length("text") <= WARM_TEXT_BYTES).select("text").limit(WARM_TEXTS)
-
-    def warm_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, reader, texts, size = words_net(shared.value, start), reader_of(shared), [], 0
-        for batch in batches:
-            for t in utf8(batch.column(0)):
-                if size < WARM_BYTES:
-                    texts.append(t)
-                    size += len(t)
-        for k in range(WARM_PASSES if texts else 0):
-            for part in _grouped(iter(texts), WARM_BYTES // 2):
-                train(own, reader, part, RATE * 2 / (1 + k))
-        yield pa.record_batch([pa.array([own.flat.tobytes()], pa.binary()), pa.array([own.squares.tobytes()], pa.binary())], names=["flat", "squares"])
-
-    first = warm.coalesce(1).mapInArrow(warm_up, "flat binary, squares binary").first()
+    if not words.total:
+        return net.flat
+    number = max(1, -(-words.total // SHARD_TOKENS))
+    hashed = F.xxhash64("doc_id", "codes")
+    dealt = coded.select(F.pmod(hashed, F.lit(number)).alias("shard"), hashed.alias("hash"), "codes")
+    ddl = "shard long, tokens double, flat binary, squares binary"
+
+    def trained(rows: DataFrame, flat: np.ndarray, squares: np.ndarray, passes: int) -> DataFrame:
+        start = rows.sparkSession.sparkContext.broadcast((flat, squares))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for shard, texts in _by_shard(batches):
+                own = net_of(words.head, *start.value)
+                for k in range(passes):
+                    tokens = train(own, texts, RATE / (1 + k) if passes > 1 else RATE / 2)
+                yield pa.record_batch([pa.array([shard]), pa.array([float(tokens)]), pa.array([own.flat.tobytes()], pa.binary()), pa.array([own.squares.tobytes()], pa.binary())], names=["shard", "tokens", "flat", "squares"])
+
+        return rows.sortWithinPartitions("shard", "hash", "codes").mapInArrow(run, ddl)
+
+    # shard 0 may have no rows, so the first is the least that has some
+    least = dealt.agg(F.min("shard")).first()[0]
+    first = trained(dealt.where(F.col("shard") == least).repartition(1), net.flat, net.squares, FIRST_PASSES).first()
     flat, squares = np.frombuffer(first["flat"], F4), np.frombuffer(first["squares"], F4)
-    warmed = spark.sparkContext.broadcast((flat, squares))
-
-    def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, reader, tokens = words_net(shared.value, *warmed.value), reader_of(shared), 0
-        for part in _grouped((t for batch in batches for t in utf8(batch.column(0))), GROUP_BYTES):
-            tokens += train(own, reader, part, RATE / 2)
-        if tokens:
-            yield pa.record_batch([pa.array([TaskContext.get().partitionId() % 64], pa.int32()), pa.array([float(tokens)]), pa.array([own.flat.tobytes()], pa.binary())], names=["node", "tokens", "flat"])
+    if number == 1:
+        return flat
+    models = saved(trained(dealt.where(F.col("shard") != least).repartition("shard"), flat, squares, 1), "models")
 
     def average(table: pa.Table) -> pa.Table:
-        weights = table["tokens"].to_numpy()
-        flats = table["flat"].to_pylist()
-        order = sorted(range(len(flats)), key=lambda i: (weights[i], flats[i]))  # the same for any order of rows
-        total = sum(weights[i] * np.frombuffer(flats[i], F4).astype("f8") for i in order)
-        mean = (total / weights.sum()).astype(F4)
-        return pa.table({"node": pa.array([0], pa.int32()), "tokens": [float(weights.sum())], "flat": pa.array([mean.tobytes()], pa.binary())})
-
-    ddl = "node int, tokens double, flat binary"
-    shards = learning.select("text").mapInArrow(shard, ddl)
-    merged = shards.groupBy("node").applyInArrow(average, ddl).groupBy("node").applyInArrow(average, ddl).first()
-    return np.frombuffer(merged["flat"], F4)
+        rows = sorted(zip(table["at"].to_pylist(), table["tokens"].to_pylist(), table["flat"].to_pylist(), strict=True))
+        weight = sum(n for _, n, _ in rows)
+        mean = sum(n / weight * np.frombuffer(x, F4).astype("f8") for _, n, x in rows)
+        return pa.table({"at": [rows[0][0] // FAN_IN], "tokens": [weight], "flat": pa.array([mean.astype(F4).tobytes()], pa.binary())})
+
+    models = models.select(F.col("shard").alias("at"), "tokens", "flat")
+    while number > 1:
+        models = models.groupBy(F.floor(F.col("at") / FAN_IN).alias("node")).applyInArrow(average, "at long, tokens double, flat binary")
+        number = -(-number // FAN_IN)
+    found = models.first()
+    return np.frombuffer(found["flat"], F4) if found else flat
+
+
+def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Shard numbers and their texts, from rows sorted by shard."""
+    at, held = None, []
+    for batch in batches:
+        for shard, codes in zip(batch.column(0).to_pylist(), _code_lists(batch.column(2)), strict=True):
+            if held and shard != at:
+                yield at, held
+                held = []
+            at = shard
+            held.append(codes)
+    if held:
+        yield at, held
 
 
-def words_net(words: Lexicon, flat: np.ndarray, squares: np.ndarray | None = None) -> Gru:
-    net = words.network()
+def net_of(head: int, flat: np.ndarray, squares: np.ndarray | None = None) -> Gru:
+    """The network of a lexicon with ``head`` head words and these parameters."""
+    heads = max(1, -(-head // PER_CLASS))
+    net = Gru(heads * PER_CLASS + SPELLING_CLASSES, heads + SPELLING_CLASSES, heads, PER_CLASS)
     net.flat = flat.copy()
     if squares is not None:
         net.squares = squares.copy()
     return net
 
 
+ROW = [
+    ("key", pa.binary()), ("row", pa.int64()), ("times", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
+    ("known", pa.int64()), ("base", pa.float64()), ("inside", pa.float64()), ("codes", pa.binary()),
+]
+ROW_DDL = "key binary, row long, times long, doc_id long, held_out boolean, n_tokens long, known long, base double, inside double, codes binary"
+
+
+def encode(rows: DataFrame, words: Lexicon) -> DataFrame:
+    """One row per document with its codes, then one per distinct word of it that the lexicon leaves out (``key``)."""
+    shared = rows.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, base_log = reader_of(shared), shared.value.base_log
+        row = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            out: list[list] = [[] for _ in ROW]
+            for doc_id, text, held in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                found_words = split(text)
+                found_words.append(END)
+                found = reader.entries(found_words)
+                n = len(found)
+                values = (None, row, None, doc_id, held, n, int(reader.known[found].sum()), float(reader.base[found].sum()) - n * base_log, float(reader.inside[found].sum()), reader.number[found].tobytes())
+                for column, value in zip(out, values, strict=True):
+                    column.append(value)
+                rare = Counter(compress(found_words, (found >= reader.n_hot).tolist()))
+                if rare:
+                    out[0] += rare.keys()
+                    out[1] += [row] * len(rare)
+                    out[2] += rare.values()
+                    for column in out[3:]:
+                        column += [None] * len(rare)
+                row += 1
+            yield pa.record_batch([pa.array(c, t) for c, (_, t) in zip(out, ROW, strict=True)], names=[k for k, _ in ROW])
+
+    return bounded_batches(rows).mapInArrow(run, ROW_DDL)
+
+
 def score(docs: DataFrame, held_out: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     Learns from the rows where ``held_out`` is false.  A null text counts as
     empty, which is one end token; repeated rows learn and score each for
     themselves; without learning rows every event has the smoothing's share; an
-    empty table gives no rows.
+    empty table gives no rows.  Words of more than ``LONGEST_WORD`` bytes are
+    told apart by hash, so a text without blanks is one short key.  A text
+    carries its state from end to end, so its tokens follow one another in one
+    task: a text of a million words takes about a minute.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), "text", held_out.alias("held_out"))
-    learning = rows.where("not held_out").select("doc_id", "text")
-    words, rest = lexicon(learning)
-    flat = fit(learning, words)
-    shared = spark.sparkContext.broadcast(words)
+    words, rest = lexicon(rows.where("not held_out"))
+    coded = saved(encode(rows, words), "coded")
+    texts = coded.where("key is null")
+    flat, head = fit(texts.where("not held_out").select("doc_id", "codes"), words), words.head
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, reader = shared.value, reader_of(shared)
-        net = words_net(words, flat)
-        row = TaskContext.get().partitionId() << 40
+        net, held, size = net_of(head, flat), [], 0
 
-        def scored(part: list[tuple]) -> pa.RecordBatch:
-            nonlocal row
-            codes, lengths, base, tail, known, open_words = [], [], [], [], [], []
-            for _, _, text in part:
-                text_words = split(text) + [END]
-                found = reader.entries(text_words)
-                lengths.append(len(found))
-                codes.append(reader.number[found])
-                base.append(float(reader.base[found].sum()) - len(found) * words.base_log)
-                tail.append(float(reader.inside[found].sum()))
-                known.append(int(reader.known[found].sum()))
-                open_words.append(Counter([text_words[i] for i in np.flatnonzero(found >= reader.n_hot).tolist()]))
-            lengths, flat_codes = np.array(lengths), np.concatenate(codes)
-            logs = np.zeros(len(flat_codes))
-            h = None
-            for at, live, x, fresh, cls, member in _windows(flat_codes, lengths, reader):
-                h = np.zeros((x.shape[1], net.shape[4]), F4) if h is None else h[: x.shape[1]]
-                found, h = net.score(x, fresh, h, cls, member)
-                logs[at[live]] = found[live]
-            sums = np.add.reduceat(logs, np.cumsum(lengths) - lengths) / math.log(10)
-            out: list[list] = [[] for _ in ROW]
-            for i, (doc_id, held, _) in enumerate(part):
-                values = [(b"row %d" % row, row, doc_id, held, int(lengths[i]), known[i], base[i], float(sums[i]) + tail[i], 0)]
-                values += [(w, row, None, None, 0, 0, 0.0, 0.0, n) for w, n in open_words[i].items()]
-                row += 1
-                for column, more in zip(out, zip(*values, strict=True), strict=True):
-                    column.extend(more)
-            return pa.record_batch([pa.array(c, t) for c, (_, t) in zip(out, ROW, strict=True)], names=[k for k, _ in ROW])
+        def scored() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held).combine_chunks()
+            sums = log_sums(net, _code_lists(table["codes"])) / math.log(10)
+            model = pc.add(table["inside"], pa.array(sums))
+            return table.drop_columns(["codes", "inside"]).append_column("model", model).combine_chunks().to_batches()[0]
 
-        held, size = [], 0
         for batch in batches:
-            for d, t, h in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                held.append((d, h, t))
-                size += len(t) + 8
-                if size >= GROUP_BYTES:
-                    yield scored(held)
-                    held, size = [], 0
+            if len(batch):
+                held.append(batch)
+                size += int(pc.sum(batch["n_tokens"]).as_py())
+            if size >= GROUP_TOKENS:
+                yield scored()
+                held, size = [], 0
         if held:
-            yield scored(held)
+            yield scored()
 
-    parts = rows.mapInArrow(run, ROW_DDL).join(rest, "key", "left")
     known = F.coalesce("n", F.lit(0))
-    more = F.sum(F.col("times") * F.log10(known + SMOOTH))
-    return parts.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("held_out").alias("held_out"), F.sum("n_tokens").alias("n_tokens"),
-        (F.sum("known") + F.sum(F.when(known > 0, F.col("times")).otherwise(0))).alias("n_known"),
-        F.lit(words.total).cast("long").alias("train_tokens"),
-        (F.sum("base") + more).alias("base_score"), (F.sum("model") + more).alias("score"),
-    ).drop("row")
-
-
-ROW = [
-    ("key", pa.binary()), ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
-    ("known", pa.int64()), ("base", pa.float64()), ("model", pa.float64()), ("times", pa.int64()),
-]
-ROW_DDL = "key binary, row long, doc_id long, held_out boolean, n_tokens long, known long, base double, model double, times long"
+    tails = coded.where("key is not null").select("key", "row", "times").join(rest, "key", "left").groupBy("row").agg(
+        F.sum(F.col("times") * F.log10(known + SMOOTH)).alias("more"), F.sum(F.when(known > 0, F.col("times")).otherwise(0)).alias("more_known")
+    )
+    done = bounded_batches(texts.select("row", "doc_id", "held_out", "n_tokens", "known", "base", "inside", "codes")).mapInArrow(
+        run, "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, model double"
+    )
+    more = F.coalesce("more", F.lit(0.0))
+    return done.join(tails, "row", "left").select(
+        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"),
+        F.lit(words.total).cast("long").alias("train_tokens"), (F.col("base") + more).alias("base_score"), (F.col("model") + more).alias("score"),
+    )

@@ -19,9 +19,10 @@ from .common import bounded_batches
 FLUSH_KEYS = 400_000
 
 
-def count_keys(docs: DataFrame, split: Callable[[bytes], list[bytes]], column: str = "text") -> DataFrame:
+def count_keys(docs: DataFrame, split: Callable[[bytes], list[bytes]], column: str = "text", each: bytes | None = None) -> DataFrame:
     """(key binary, n long): how often ``split`` yields each key over all rows.
 
+    ``each`` is a key that every row has once besides, null texts too.
     Each task sums in a bounded dictionary first, so the shuffle carries a key
     about once per task.
     """
@@ -29,6 +30,8 @@ def count_keys(docs: DataFrame, split: Callable[[bytes], list[bytes]], column: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for batch in batches:
+            if each is not None and len(batch):
+                counts[each] += len(batch)
             for text in batch.column(0).cast(pa.binary()).to_pylist():
                 if text:
                     counts.update(split(text))

@@ -65,6 +65,53 @@ def test_lm_empty(empty):
     assert lm_score.score(empty, F.lit(False)).count() == 0
 
 
+def test_lm_layout_and_plain_forward(spark, documents, odd):
+    """Scores don't depend on the tasks that read the rows, and equal a step-by-step forward pass in plain loops."""
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 10 == 0
+    small = documents.where("doc_id < 60").select("doc_id", "text").unionByName(odd.select(F.col("doc_id").cast("long"), F.substring("text", 1, 3000).alias("text")))
+    # shards of a few thousand tokens, so that there are several
+    seen = []
+    for n in (1, 4, 16):
+        seen.append(sorted(((repr(r["doc_id"]), r["n_tokens"], r["score"]) for r in lm_score.score(small.repartition(n, "text"), held).collect())))
+    for other in seen[1:]:
+        assert len(other) == len(seen[0])
+        for a, b in zip(seen[0], other, strict=True):
+            assert a[:2] == b[:2] and math.isclose(a[2], b[2], rel_tol=2e-4, abs_tol=1e-3)
+    words, rest = lm_score.lexicon(small.where(~held).select("text"))
+    coded = lm_score.encode(small.select("doc_id", "text", held.alias("held_out")), words)
+    texts = [r for r in coded.where("key is null").collect()]
+    flat = lm_score.fit(spark.createDataFrame([(r["doc_id"], r["codes"]) for r in texts if not r["held_out"]], "doc_id long, codes binary"), words)
+    net = lm_score.net_of(words.head, flat)
+    p = {k: v.astype("f8") for k, v in net.views(net.flat).items()}
+    k = net.hidden
+    for r in texts[:8]:
+        codes, h, before, plain = np.frombuffer(r["codes"], "<u2"), np.zeros(k), 0, 0.0
+        for code in codes[:400].tolist():
+            pre = p["W"] @ p["E"][:, before] + p["b"]
+            z, reset = np.split(1 / (1 + np.exp(-(pre[: 2 * k] + p["U"][: 2 * k] @ h))), 2)
+            n = np.tanh(pre[2 * k :] + p["U"][2 * k :] @ (reset * h))
+            h = n + z * (h - n)
+            out = np.exp(p["C"] @ h + p["c"])
+            n_head = net.heads * net.per_class
+            c = code // net.per_class if code < n_head else code - n_head + net.heads
+            plain += math.log(out[c] / out.sum())
+            if code < n_head:
+                inner = np.exp(p["V"][c] @ h + p["v"][c])
+                plain += math.log(inner[code % net.per_class] / inner.sum())
+            before = code
+        assert math.isclose(lm_score.log_sums(net, [codes[:400]])[0], plain, rel_tol=1e-4, abs_tol=1e-2)
+
+
+def test_lm_shards(spark, documents, monkeypatch):
+    """Several shards, averaged in a tree, give the same parameters in any layout."""
+    monkeypatch.setattr(lm_score, "SHARD_TOKENS", 4000)
+    monkeypatch.setattr(lm_score, "FAN_IN", 3)
+    words, _ = lm_score.lexicon(documents.select("text"))
+    coded = lm_score.encode(documents.select("doc_id", "text", F.lit(False)), words).where("key is null").select("doc_id", "codes")
+    one, many = (lm_score.fit(coded.repartition(n), words) for n in (1, 7))
+    assert np.allclose(one, many, atol=1e-4) and np.isfinite(one).all()
+
+
 def test_gru_gradient_and_windows():
     from geoloom.llm.gru import Gru, Streams
 
@@ -73,7 +120,7 @@ def test_gru_gradient_and_windows():
     net.flat += rng.standard_normal(len(net.flat)).astype("f4") * 0.1
     x, fresh = rng.integers(0, 20, (4, 3)), np.ones((4, 3), "f4")
     fresh[0], fresh[2, 1] = 0, 0
-    cls, member, h = rng.integers(0, 6, (4, 3)), rng.integers(0, 4, (4, 3)), np.zeros((3, 5), "f4")
+    cls, member, h = rng.integers(0, 6, (4, 3)), rng.integers(0, 4, (4, 3)), np.zeros((5, 3), "f4")
     loss = lambda: -float(net.score(x, fresh, h, cls, member)[0].astype("f8").sum()) / 12
     before, base = net.flat.copy(), loss()
     net.learn(x, fresh, h, cls, member, np.ones((4, 3), bool), 1e-4)
