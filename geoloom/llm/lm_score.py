@@ -343,41 +343,40 @@ def net_of(head: int, flat: np.ndarray, squares: np.ndarray | None = None) -> Gr
     return net
 
 
-ROW = [
-    ("key", pa.binary()), ("row", pa.int64()), ("times", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
-    ("known", pa.int64()), ("base", pa.float64()), ("inside", pa.float64()), ("codes", pa.binary()),
+CODED = [
+    ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()),
+    ("base", pa.float64()), ("inside", pa.float64()), ("codes", pa.binary()), ("rare", pa.list_(pa.binary())), ("times", pa.list_(pa.int64())),
 ]
-ROW_DDL = "key binary, row long, times long, doc_id long, held_out boolean, n_tokens long, known long, base double, inside double, codes binary"
+CODED_DDL = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, inside double, codes binary, rare array<binary>, times array<long>"
 
 
 def encode(rows: DataFrame, words: Lexicon) -> DataFrame:
-    """One row per document with its codes, then one per distinct word of it that the lexicon leaves out (``key``)."""
+    """One row per document: its codes, its distinct words that the lexicon leaves out (``rare``) and how often each comes."""
     shared = rows.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, base_log = reader_of(shared), shared.value.base_log
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            out: list[list] = [[] for _ in ROW]
+            out: list[list] = [[] for _ in CODED[:-2]]
+            keys, times, ends = [], [], [0]
             for doc_id, text, held in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 found_words = split(text)
                 found_words.append(END)
                 found = reader.entries(found_words)
                 n = len(found)
-                values = (None, row, None, doc_id, held, n, int(reader.known[found].sum()), float(reader.base[found].sum()) - n * base_log, float(reader.inside[found].sum()), reader.number[found].tobytes())
+                values = (row, doc_id, held, n, int(reader.known[found].sum()), float(reader.base[found].sum()) - n * base_log, float(reader.inside[found].sum()), reader.number[found].tobytes())
                 for column, value in zip(out, values, strict=True):
                     column.append(value)
                 rare = Counter(compress(found_words, (found >= reader.n_hot).tolist()))
-                if rare:
-                    out[0] += rare.keys()
-                    out[1] += [row] * len(rare)
-                    out[2] += rare.values()
-                    for column in out[3:]:
-                        column += [None] * len(rare)
+                keys += rare.keys()
+                times += rare.values()
+                ends.append(len(keys))
                 row += 1
-            yield pa.record_batch([pa.array(c, t) for c, (_, t) in zip(out, ROW, strict=True)], names=[k for k, _ in ROW])
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, t)) for x, t in ((keys, pa.binary()), (times, pa.int64()))]
+            yield pa.record_batch([*(pa.array(c, t) for c, (_, t) in zip(out, CODED, strict=False)), *lists], names=[k for k, _ in CODED])
 
-    return bounded_batches(rows).mapInArrow(run, ROW_DDL)
+    return bounded_batches(rows).mapInArrow(run, CODED_DDL)
 
 
 def score(docs: DataFrame, held_out: Column) -> DataFrame:
@@ -393,8 +392,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long"), "text", held_out.alias("held_out"))
     words, rest = lexicon(rows.where("not held_out"))
-    coded = saved(encode(rows, words), "coded")
-    texts = coded.where("key is null")
+    texts = saved(encode(rows, words), "coded")
     flat, head = fit(texts.where("not held_out").select("doc_id", "codes"), words), words.head
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -417,7 +415,8 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
             yield scored()
 
     known = F.coalesce("n", F.lit(0))
-    tails = coded.where("key is not null").select("key", "row", "times").join(rest, "key", "left").groupBy("row").agg(
+    rare = texts.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("key"), "r.times")
+    tails = rare.join(rest, "key", "left").groupBy("row").agg(
         F.sum(F.col("times") * F.log10(known + SMOOTH)).alias("more"), F.sum(F.when(known > 0, F.col("times")).otherwise(0)).alias("more_known")
     )
     done = bounded_batches(texts.select("row", "doc_id", "held_out", "n_tokens", "known", "base", "inside", "codes")).mapInArrow(

@@ -107,22 +107,31 @@ def mix(docs: DataFrame) -> DataFrame:
 def training_order(mixed: DataFrame) -> DataFrame:
     """One row per copy taken, with ``mix_position``, sorted by range on it."""
     rows = mixed.withColumn("mix_position", F.explode("mix_positions")).drop("mix_positions")
-    return rows.repartitionByRange(F.col("mix_position"), F.col("doc_id")).sortWithinPartitions("mix_position", "doc_id")
+    return rows.repartitionByRange(F.col("mix_position"), F.col("doc_id")).sortWithinPartitions("mix_position", "doc_id", "mix_size")
 
 
 def with_ranks(mixed: DataFrame) -> DataFrame:
-    """``mixed`` without its text, with ``mix_ranks``: the place of each copy in the training order, from 0.
+    """``mixed`` without its text, with ``mix_first`` (the first copy's position) and ``mix_first_rank``,
+    ``mix_last_rank``: the places of the first and last copy in the training order, from 0; null where none is taken.
 
-    Whole documents are sorted; a table of partition sizes turns places inside
-    a partition into places in the order.
+    Whole documents are sorted; only what is left without the text is written.  A
+    table of partition sizes turns places inside a partition into places in the
+    order.  Rows that are not taken lie anywhere among the others and count for
+    nothing.
     """
-    held = saved(mixed.withColumn("mix_row", F.monotonically_increasing_id()), "mixed")
-    part = F.col("mix_at").bitwiseAND(F.lit((1 << 33) - 1))
-    order = training_order(held).withColumn("mix_at", F.monotonically_increasing_id())
-    order = saved(order.select("mix_row", "mix_position", F.spark_partition_id().alias("mix_part"), part.alias("mix_in"), F.octet_length("text").alias("bytes")), "order")
-    sizes = order.groupBy("mix_part").agg(F.count("*").alias("n"))
+    rows = mixed.withColumn("mix_row", F.monotonically_increasing_id()).withColumn("mix_position", F.explode_outer("mix_positions"))
+    anywhere = F.pmod(F.xxhash64("mix_row"), F.lit(1 << 20)) / (1 << 20)
+    order = rows.withColumn("mix_at", F.coalesce("mix_position", anywhere)).repartitionByRange(F.col("mix_at"), F.col("doc_id")).sortWithinPartitions("mix_at", "doc_id", "mix_size")
+    order = order.withColumn("bytes", F.octet_length("text")).drop("text", "mix_positions", "mix_at")
+    order = saved(order.withColumns({"mix_part": F.spark_partition_id(), "mix_in": F.monotonically_increasing_id()}), "order").drop("bytes")
+    taken = F.col("mix_position").isNotNull()
+    sizes = order.where(taken).groupBy("mix_part").agg(F.count("*").alias("n"))
     # one row a partition, so this window is small
     before = sizes.select("mix_part", (F.sum("n").over(W.orderBy("mix_part")) - F.col("n")).alias("before"))
-    copies = order.join(F.broadcast(before), "mix_part").groupBy(F.col("mix_row").alias("_row")).agg(F.array_sort(F.collect_list(F.col("before") + F.col("mix_in"))).alias("mix_ranks"))
-    none = F.array().cast("array<bigint>")
-    return held.drop("text").join(copies, F.col("mix_row") == F.col("_row"), "left").withColumn("mix_ranks", F.coalesce("mix_ranks", none)).drop("mix_row", "_row")
+    inside = F.sum(taken.cast("long")).over(W.partitionBy("mix_part").orderBy("mix_in"))
+    ranked = order.withColumn("inside", inside).join(F.broadcast(before), "mix_part", "left")
+    rank = F.when(taken, F.col("before") + F.col("inside") - 1)
+    kept = [c for c in mixed.columns if c not in ("text", "mix_positions")]
+    return ranked.groupBy("mix_row").agg(
+        *[F.first(c).alias(c) for c in kept], F.min("mix_position").alias("mix_first"), F.min(rank).alias("mix_first_rank"), F.max(rank).alias("mix_last_rank")
+    ).drop("mix_row")

@@ -35,8 +35,9 @@ def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("mix_source_size").alias("source_size"),
         F.col("mix_target").alias("target"),
         F.col("mix_taken").cast("long").alias("taken"),
-        F.col("mix_positions").alias("positions"),
-        F.col("mix_ranks").alias("ranks"),
+        F.col("mix_first").alias("position"),
+        F.col("mix_first_rank").alias("first_rank"),
+        F.col("mix_last_rank").alias("last_rank"),
     )
 
 
@@ -102,15 +103,30 @@ WITH RECURSIVE d AS (
     - coalesce(sum(cap) OVER (ORDER BY cap / weight, r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(weight) OVER (ORDER BY cap / weight, r ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w
 ), t AS (
-  SELECT source, source_size, least(cap, weight * coalesce((SELECT arg_min(level, cap / weight) FROM l WHERE cap / weight >= level), 0)) AS target FROM l
+  SELECT source, r, source_size, least(cap, weight * coalesce((SELECT arg_min(level, cap / weight) FROM l WHERE cap / weight >= level), 0)) AS target FROM l
 ), m AS (
-  SELECT doc_id, size, source_size, target,
+  SELECT row_number() OVER () AS n, doc_id, size, source_size, target, r,
     sum(size) OVER (PARTITION BY d.source ORDER BY k, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size / 2.0 AS middle
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), c AS (
+  SELECT n, doc_id, size, r % 3 AS kind, (e.e * source_size + middle) / target AS share
+  FROM m, (VALUES (0.0::DOUBLE), (1.0::DOUBLE), (2.0::DOUBLE)) AS e(e) WHERE size > 0 AND e.e * source_size + middle <= target
+), p AS (
+  -- the inverses of the schedules' integrals: 1; 0.5 to 1 to 1.5; 1.5 to 1 to 0.5
+  SELECT n, doc_id, size, CASE kind
+    WHEN 0 THEN CASE WHEN share <= 0.5 THEN least(share, 0.5) ELSE 0.5 + least(share - 0.5, 0.5) END
+    WHEN 1 THEN CASE WHEN share <= 0.375 THEN least(greatest((sqrt(greatest(0.25 + 2 * 1.0 * share, 0.0)) - 0.5) / 1.0, 0.0), 0.5)
+      ELSE 0.5 + least(greatest((sqrt(greatest(1.0 + 2 * 1.0 * (share - 0.375), 0.0)) - 1.0) / 1.0, 0.0), 0.5) END
+    ELSE CASE WHEN share <= 0.625 THEN least(greatest((sqrt(greatest(2.25 + 2 * -1.0 * share, 0.0)) - 1.5) / -1.0, 0.0), 0.5)
+      ELSE 0.5 + least(greatest((sqrt(greatest(1.0 + 2 * -1.0 * (share - 0.625), 0.0)) - 1.0) / -1.0, 0.0), 0.5) END
+    END AS position FROM c
+), o AS (
+  SELECT n, position, size, row_number() OVER (ORDER BY position, doc_id NULLS FIRST, size) - 1 AS rank FROM p
+), q AS (
+  SELECT n, count(*) AS copies, min(position) AS position, min(rank) AS first_rank, max(rank) AS last_rank FROM o GROUP BY n
 )
-SELECT doc_id, size, source_size, target,
-  (CASE WHEN size > 0 THEN size * ((middle <= target)::INT + (source_size + middle <= target)::INT + (2 * source_size + middle <= target)::INT) ELSE 0 END)::BIGINT AS taken
-FROM m
+SELECT doc_id, size, source_size, target, (size * coalesce(copies, 0))::BIGINT AS taken, position, first_rank, last_rank
+FROM m LEFT JOIN q ON m.n = q.n
 """
 
 OP6_SQL = """

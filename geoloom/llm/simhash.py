@@ -31,6 +31,15 @@ MOST_BITS = 2
 RUN = 4096
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        part = hashes[at : at + (1 << 16)].astype(">u8")
+        ones += np.unpackbits(part.view("u1").reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+
+
 def fingerprint(text: bytes) -> int:
     """Majority bits of the XXH64 of all shingles, repeats included; 0 without words."""
     import xxhash
@@ -43,11 +52,7 @@ def fingerprint(text: bytes) -> int:
         if len(words) >= SHINGLE
         else [xxhash.xxh64_intdigest(b" ".join(words), SEED)]
     )
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 16):
-        part = np.array(hashes[at : at + (1 << 16)], ">u8")
-        ones += np.unpackbits(part.view("u1").reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+    return majority(np.array(hashes, "u8"))
 
 
 def fingerprints(docs: DataFrame, keep: list[str]) -> DataFrame:
