@@ -26,7 +26,7 @@ class WordEncoder:
     ``max_words`` bounds the table; when it is full it starts anew.
     """
 
-    def __init__(self, tokenizer_file: str, max_words: int = 400_000):
+    def __init__(self, tokenizer_file: str, max_words: int = 200_000):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.file, self.tokenizer = tokenizer_file, None
