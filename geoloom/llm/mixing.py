@@ -10,11 +10,15 @@ source, by the first digits of md5(doc_id), and a table of slice sums joins them
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import WORD_PATTERN, saved
+from .common import WORD_PATTERN, bounded_batches, saved, utf8
 
 WEIGHTS = (5, 2, 1)
 #: Relative weight at the start, middle and end of training, for the sources of
@@ -70,7 +74,24 @@ def demand_time(share: Column, kind: Column) -> Column:
     return out
 
 
-def mix(docs: DataFrame) -> DataFrame:
+def compressed(rows: DataFrame) -> DataFrame:
+    """``rows`` with each text as a zstandard frame: they travel twice, by source and by position."""
+    schema = T.StructType([T.StructField(f.name, T.BinaryType()) if f.name == "text" else f for f in rows.schema])
+    names = list(rows.columns)
+    at = names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        made = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            frames = pa.array([made.compress(x) for x in utf8(batch.column(at))], pa.binary())
+            yield pa.RecordBatch.from_arrays([frames if i == at else c for i, c in enumerate(batch.columns)], names=names)
+
+    return bounded_batches(rows).mapInArrow(run, schema)
+
+
+def mix(docs: DataFrame, compress: bool = False) -> DataFrame:
     """All rows of ``docs`` with ``mix_size``, ``mix_source_size``, ``mix_target``,
     ``mix_positions`` (one position per copy taken, ascending) and ``mix_taken``.
 
@@ -79,7 +100,8 @@ def mix(docs: DataFrame) -> DataFrame:
     times its size.  A source is read over and over in the order of
     md5(doc_id); a copy is taken if its middle is within the target.  Null text
     and empty text have size 0 and are never taken; repeated rows are taken
-    each for itself; an empty table gives no rows.
+    each for itself; an empty table gives no rows.  With ``compress`` the texts
+    come as zstandard frames.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
@@ -92,6 +114,8 @@ def mix(docs: DataFrame) -> DataFrame:
     before = F.sum("size").over(W.partitionBy("s_source").orderBy("s_slice")) - F.col("size")
     slices = slices.withColumn("slice_before", before).drop("size")
     slices = slices.join(targets, F.col("s_source").eqNullSafe(F.col("t_source"))).drop("t_source")
+    if compress:
+        sized = compressed(sized)
     sized = sized.join(slices, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("mix_slice") == F.col("s_slice")))
     inside = W.partitionBy("s_source", "s_slice").orderBy("mix_key", F.col("doc_id").asc_nulls_first(), "mix_size").rowsBetween(W.unboundedPreceding, 0)
     middle = F.col("slice_before") + F.sum("mix_size").over(inside) - F.col("mix_size") / 2

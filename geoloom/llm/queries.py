@@ -28,7 +28,7 @@ def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: what the mix takes of it, and where its copies stand in training."""
-    mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    mixed = mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"), compress=True)
     return mixing.with_ranks(mixed).select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("mix_size").alias("size"),
