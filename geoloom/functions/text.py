@@ -9,6 +9,12 @@ from pyspark.sql import types as T
 
 #: Words that say nothing about which spring is meant.
 GENERIC_WORDS = ("hot", "warm", "spring", "springs", "the")
+#: Words that alone make no name to agree with, and the qualifiers one source leaves out.
+NO_NAME_WORDS = ("hot", "warm", "spring", "springs", "pool", "pools", "the", "and", "of")
+QUALIFIERS = r"(?i)\b(hot|warm)\b"
+#: What may stand between a digit and a range's dash; the dashes that are signs.
+UNIT_BEFORE_DASH = " ?°? ?[cfk]?"
+DASHES = "[-\u2212\u2013]"
 
 
 @F.pandas_udf(T.StringType())
@@ -34,42 +40,63 @@ def identity_name(name: Column) -> Column:
     return F.array_join(F.filter(words, lambda w: ~w.isin(*GENERIC_WORDS)), " ")
 
 
-def names_agree(a: Column, b: Column) -> Column:
-    """Blank names agree with all; else one identity name holds the other."""
-    a, b = F.replace(identity_name(a), F.lit(" ")), F.replace(identity_name(b), F.lit(" "))
-    return (a == "") | (b == "") | F.contains(a, b) | F.contains(b, a)
+def _only_generic(name: Column) -> Column:
+    words = F.regexp_extract_all(F.lower(F.coalesce(name, F.lit(""))), F.lit(r"\p{L}+"), F.lit(0))
+    return (F.size(words) > 0) & F.forall(words, lambda w: w.isin(*NO_NAME_WORDS))
+
+
+def _either_holds(a: Column, b: Column) -> Column:
+    return F.contains(a, b) | F.contains(b, a)
+
+
+def names_agree(a: Column, b: Column, ascii_only: bool = False) -> Column:
+    """Whether two names may be one place's.
+
+    A blank name agrees with all; one that holds the other agrees; otherwise a
+    name of generic words alone agrees with none, and the rest are compared once
+    more without "hot" and "warm".
+    """
+    x, y = norm_name(a, ascii_only), norm_name(b, ascii_only)
+    short = [norm_name(F.regexp_replace(F.coalesce(n, F.lit("")), QUALIFIERS, " "), ascii_only) for n in (a, b)]
+    bare = (short[0] != "") & (short[1] != "") & _either_holds(*short)
+    return F.when((x == "") | (y == "") | _either_holds(x, y), True).when(_only_generic(a) | _only_generic(b), False).otherwise(bare)
 
 
 def html_text(html: Column) -> Column:
     """Visible text: no script, style, noscript or template bodies, tags as blanks, white space collapsed."""
     text = F.regexp_replace(html, r"(?is)<(script|style|noscript|template)\b[^>]*>.*?(</\1\s*>|\z)", " ")
-    text = F.regexp_replace(text, r"(?s)<[^>]*>", " ")
-    for entity, sign in (("&nbsp;", " "), ("&amp;", "&"), ("&deg;", "°")):
+    text = F.regexp_replace(text, r"(?s)<[^>]+>", " ")
+    # "&amp;" last: what it makes is no entity
+    for entity, sign in (("&nbsp;", " "), ("&deg;", "°"), ("&amp;", "&")):
         text = F.regexp_replace(text, f"(?i){entity}", sign)
     return F.trim(F.regexp_replace(text, r"[\s\x{A0}\x{3000}]+", " "))
 
 
 def number_pattern(value: Column) -> Column:
-    """A pattern that finds a number as a whole: trailing zeros and a decimal comma allowed.
+    """A pattern that finds a number as a whole, in lower-cased text.
 
-    A dash before it is a sign unless it stands between digits, as in a range.
+    A dot may be followed by trailing zeros, a decimal comma may not; whole
+    numbers may be grouped by threes.  A dash before it is a sign unless a digit,
+    maybe with its unit, stands before the dash, as in a range.
     """
-    whole = F.split(F.regexp_replace(F.abs(value).cast("string"), r"\.0$", ""), r"\.")
-    thousands = F.lit("(?!,[0-9]{3}(?![0-9]))")  # 42,500 is no 42.5
-    digits = F.concat(whole[0], F.when(F.size(whole) > 1, F.concat(thousands, F.lit("[.,]"), whole[1], F.lit("0*"))).otherwise(F.concat(thousands, F.lit("(?:[.,]0+)?"))))
-    sign = F.when(value < 0, F.lit(r"(?<![0-9.,°])[-−]")).otherwise(F.lit(r"(?<![0-9][.,])(?<![0-9])(?<!(?<![0-9°])[-−])"))
-    return F.concat(sign, digits, F.lit(r"(?![0-9])(?![.,][0-9])"))
+    plain = F.regexp_replace(F.regexp_replace(value.cast("decimal(34,12)").cast("string"), r"(\.[0-9]*?)0+$", "$1"), r"\.$", "")
+    parts = F.split(plain, r"\.")
+    grouped = F.regexp_replace(parts[0], r"(?<=[0-9])(?=([0-9]{3})+$)", "[.,]?")
+    body = F.when(F.size(parts) > 1, F.concat(parts[0], F.lit(r"(?:\."), parts[1], F.lit("0*|,"), parts[1], F.lit(")"))).otherwise(F.concat(grouped, F.lit(r"(?:\.0+)?")))
+    return F.concat(F.lit(rf"(?<![0-9.,])(?<!(?<![0-9]{UNIT_BEFORE_DASH}){DASHES})"), body, F.lit(r"(?![0-9.,]*[0-9])"))
 
 
 def value_appears(value: Column, text: Column) -> Column:
-    """Whether the number stands in the text."""
-    return F.coalesce(F.rlike(text, number_pattern(value)), F.lit(False))
+    """Whether the number stands in the text; one that is not finite never does."""
+    finite = ~F.isnan(value) & (F.abs(value) < 1e21)
+    return F.coalesce(finite & F.rlike(F.lower(text), number_pattern(value)), F.lit(False))
 
 
 def word_appears(word: Column, text: Column) -> Column:
-    """Whether the word stands in the text, in any case, between ASCII word boundaries."""
+    """Whether the word stands in the text, in any case, with no ASCII letter or digit beside it; a blank word never does."""
+    word = F.trim(F.lower(word))
     quoted = F.regexp_replace(word, r"([\\.\[\]{}()*+?^$|-])", r"\\$1")
-    return F.coalesce(F.rlike(text, F.concat(F.lit("(?i)(?<![A-Za-z0-9_])"), quoted, F.lit("(?![A-Za-z0-9_])"))), F.lit(False))
+    return F.coalesce((word != "") & F.rlike(F.lower(text), F.concat(F.lit("(?<![a-z0-9])"), quoted, F.lit("(?![a-z0-9])"))), F.lit(False))
 
 
 def one_line(text: Column) -> Column:

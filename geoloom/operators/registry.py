@@ -7,25 +7,57 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.parse import mint_id
+from ..functions.text import norm_name
+from ..shared import written
+from .dedupe import SAME_NAME_M, same_spring
+from .spatial import radius_join
 
 #: What makes two events the same (not where a value came from).
 STATE_KEY = ("type", "spring", "path", "to")
 
 
 def resolve(records: DataFrame, registry: DataFrame) -> DataFrame:
-    """``records`` (key, refs) with ``spring`` and ``how`` (known or minted).
+    """``records`` (key, refs) with ``spring`` and ``how`` (known, moved or minted).
 
-    A record takes the registry entry that shares a reference, the first entry
-    if several do; an entry goes to the first record that wants it.  Others get
-    an id minted from their first reference.
+    Known: the entry that holds the first of the record's references that any
+    entry holds (the last such entry); records that share it share the spring.
+    Moved: records with lat, lng, name and kind that no reference finds take, in
+    the order of their keys, the first entry (by ``entry``) that is the same spring
+    by name and distance and that no earlier record took.  Others get an id minted
+    from their first reference.  References that a record brings in the same run
+    find nothing yet.
     """
     wanted = records.select("key", F.posexplode("refs").alias("at", "ref"))
-    have = registry.select("spring", "entry", F.explode("refs").alias("ref"))
-    best = wanted.join(have, "ref").groupBy("key").agg(F.min(F.struct("entry", "spring")).alias("m"))
-    rank = F.row_number().over(W.partitionBy("m.entry").orderBy("key"))
-    given = best.withColumn("_rank", rank).where("_rank = 1").select("key", F.col("m.spring").alias("_known"))
-    joined = records.join(given, "key", "left")
-    return joined.select("key", "refs", F.coalesce("_known", mint_id(F.col("refs")[0])).alias("spring"), F.when(F.col("_known").isNull(), "minted").otherwise("known").alias("how"))
+    have = registry.select("spring", "entry", F.explode("refs").alias("ref")).groupBy("ref").agg(F.max_by(F.struct("entry", "spring"), "entry").alias("e"))
+    known = wanted.join(have, "ref").groupBy("key").agg(F.min_by("e", "at").alias("e")).select("key", F.col("e.entry").alias("entry"), F.col("e.spring").alias("_known"))
+    found = known.select("key", "_known", F.lit("known").alias("how"))
+    if {"lat", "lng", "name", "kind"} <= set(records.columns) & set(registry.columns):
+        known = written(known, "known")
+        found = known.select("key", "_known", F.lit("known").alias("how")).unionByName(_moved(records.join(known, "key", "left_anti"), registry, known))
+    joined = records.join(found, "key", "left")
+    return joined.select("key", "refs", F.coalesce("_known", mint_id(F.col("refs")[0])).alias("spring"), F.coalesce("how", F.lit("minted")).alias("how"))
+
+
+def _moved(records: DataFrame, registry: DataFrame, known: DataFrame) -> DataFrame:
+    """(key, _known, how) of records that take an entry by place and name.
+
+    Records ask for their first entry that has not refused them; an entry keeps
+    the earliest key that asks and refuses the others.  All entries rank keys
+    alike, so this ends with what serving the records one by one gives.
+    """
+    entries = registry.select("entry", "spring", F.col("lat").alias("r_lat"), F.col("lng").alias("r_lng"), norm_name(F.col("name")).alias("r_name"), F.col("kind").alias("r_kind"))
+    named = records.select("key", "lat", "lng", norm_name(F.col("name")).alias("name"), "kind")
+    pairs = radius_join(named, entries, SAME_NAME_M).where(same_spring(F.col("name"), F.col("r_name"), F.col("kind"), F.col("r_kind"), F.col("metres")))
+    # a record that a reference finds takes its entry in its turn
+    turn = known.groupBy("entry").agg(F.min("key").alias("turn"))
+    open_pairs = written(pairs.join(turn, "entry", "left").where("turn is null or key < turn").select("key", "entry", "spring"), "moves")
+    while True:
+        asked = open_pairs.groupBy("key").agg(F.min_by(F.struct("entry", "spring"), "entry").alias("e")).select("key", "e.entry", "e.spring")
+        held = asked.groupBy("entry").agg(F.min("key").alias("holder"))
+        refused = written(asked.join(held, "entry").where("key > holder").select("key", "entry"), "refused")
+        if refused.isEmpty():
+            return asked.select("key", F.col("spring").alias("_known"), F.lit("moved").alias("how"))
+        open_pairs = written(open_pairs.join(refused, ["key", "entry"], "left_anti"), "moves")
 
 
 def lifecycle(registry: DataFrame, present: DataFrame, today: str) -> tuple[DataFrame, DataFrame]:
@@ -38,7 +70,7 @@ def lifecycle(registry: DataFrame, present: DataFrame, today: str) -> tuple[Data
     after = both.select(
         "spring", F.coalesce("first_seen", F.lit(today)).alias("first_seen"), F.when(here, F.lit(today)).otherwise(F.col("last_seen")).alias("last_seen"),
         F.when(here, F.lit(None).cast("string")).otherwise(F.coalesce("missing_since", F.lit(today))).alias("missing_since"),
-        F.when(new, "spring.minted").when(here & F.col("missing_since").isNotNull(), "spring.returned").when(~here & F.col("missing_since").isNull(), "spring.disappeared").alias("type"),
+        F.when(new, "spring.appeared").when(here & F.col("missing_since").isNotNull(), "spring.returned").when(~here & F.col("missing_since").isNull(), "spring.disappeared").alias("type"),
     )
     return after.drop("type"), after.where("type is not null").select("spring", "type", F.lit(today).alias("ts"))
 

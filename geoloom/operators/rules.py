@@ -9,7 +9,7 @@ from ..functions.geo import in_box
 from .spatial import box_join, radius_join
 
 #: Access statuses, least restrictive first.
-ACCESS_RANK = ("unknown", "open", "restricted", "closed")
+ACCESS_RANK = ("unknown", "public", "permit", "view-only", "closed")
 
 
 def first_rule(records: DataFrame, rules: DataFrame) -> DataFrame:
@@ -28,16 +28,22 @@ def first_rule(records: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def restrict(records: DataFrame, boxes: DataFrame) -> DataFrame:
-    """id, status, bathing, warnings from all boxes that hold a record: the most restrictive status, any refusal of bathing.
+    """id, status, bathing, warnings of the records that boxes hold.
 
-    ``boxes``: manager, ord, status, bathing, warning, west, south, east, north.
+    The most restrictive status of the boxes and of the record's own; any
+    refusal of bathing holds, else the record's own word, else the first box's
+    that has one.  ``boxes``: manager, ord, status, bathing, warning, west, south,
+    east, north; ``records``: id, lat, lng, and maybe status and bathing.
     """
-    rank = F.array_position(F.array(*[F.lit(s) for s in ACCESS_RANK]), F.col("status"))
-    refused = F.bool_or(~F.col("bathing"))
-    first = F.min_by("bathing", F.when(F.col("bathing").isNotNull(), F.col("ord")))
-    return box_join(records.select("id", "lat", "lng"), boxes).groupBy("id").agg(
-        F.max_by("status", rank).alias("status"),
-        F.when(refused, False).otherwise(first).alias("bathing"),
+    own = {c: F.col(c) if c in records.columns else F.lit(None) for c in ("status", "bathing")}
+    mine = records.select("id", "lat", "lng", own["status"].cast("string").alias("own_status"), own["bathing"].cast("boolean").alias("own_bathing"))
+    ranks = F.array(*[F.lit(s) for s in ACCESS_RANK])
+    rank = F.greatest(F.max(F.array_position(ranks, F.col("status"))), F.coalesce(F.array_position(ranks, F.first("own_status")), F.lit(1)))
+    refused = F.bool_or(~F.col("bathing")) | ~F.first("own_bathing")
+    said = F.min_by("bathing", F.when(F.col("bathing").isNotNull(), F.col("ord")))
+    return box_join(mine, boxes).groupBy("id").agg(
+        F.element_at(ranks, F.greatest(rank, F.lit(1)).cast("int")).alias("status"),
+        F.when(refused, False).otherwise(F.coalesce(F.first("own_bathing"), said)).alias("bathing"),
         F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("ord", "warning"))), lambda w: w["warning"]), "; ").alias("warnings"),
     )
 

@@ -136,18 +136,18 @@ def coarse_name_bind(spark, sf_dir):
 
 
 _BOXES = """boxes(manager, ord, status, bathing, warning, west, south, east, north) AS (VALUES
-('north', 1, 'restricted', NULL, 'Stay on the paths', -120.0::DOUBLE, 30.0::DOUBLE, -119.5::DOUBLE, 31.2::DOUBLE),
-('middle', 2, 'open', true, 'Ask first', -120.0::DOUBLE, 30.5::DOUBLE, -119.9::DOUBLE, 34.0::DOUBLE),
+('north', 1, 'permit', NULL, 'Stay on the paths', -120.0::DOUBLE, 30.0::DOUBLE, -119.5::DOUBLE, 31.2::DOUBLE),
+('middle', 2, 'view-only', true, 'Ask first', -120.0::DOUBLE, 30.5::DOUBLE, -119.9::DOUBLE, 34.0::DOUBLE),
 ('south', 3, 'closed', false, 'No bathing', -120.0::DOUBLE, 31.0::DOUBLE, -119.99::DOUBLE, 36.0::DOUBLE))"""
 
 
 def _boxes(spark):
-    rows = [("north", 1, "restricted", None, "Stay on the paths", -120.0, 30.0, -119.5, 31.2), ("middle", 2, "open", True, "Ask first", -120.0, 30.5, -119.9, 34.0), ("south", 3, "closed", False, "No bathing", -120.0, 31.0, -119.99, 36.0)]
+    rows = [("north", 1, "permit", None, "Stay on the paths", -120.0, 30.0, -119.5, 31.2), ("middle", 2, "view-only", True, "Ask first", -120.0, 30.5, -119.9, 34.0), ("south", 3, "closed", False, "No bathing", -120.0, 31.0, -119.99, 36.0)]
     return spark.createDataFrame(rows, "manager string, ord int, status string, bathing boolean, warning string, west double, south double, east double, north double")
 
 
 @query(f"""{SPRINGS}, {_BOXES}, hit AS (SELECT s.id, b.* FROM springs s JOIN boxes b ON s.lat BETWEEN b.south AND b.north AND s.lng BETWEEN b.west AND b.east)
-SELECT id, arg_max(status, CASE status WHEN 'unknown' THEN 1 WHEN 'open' THEN 2 WHEN 'restricted' THEN 3 ELSE 4 END) AS status,
+SELECT id, arg_max(status, CASE status WHEN 'unknown' THEN 1 WHEN 'public' THEN 2 WHEN 'permit' THEN 3 WHEN 'view-only' THEN 4 ELSE 5 END) AS status,
 CASE WHEN bool_or(NOT bathing) THEN false ELSE arg_min(bathing, ord) FILTER (bathing IS NOT NULL) END AS bathing, string_agg(warning, '; ' ORDER BY ord) AS warnings FROM hit GROUP BY id""")
 def bbox_restrict(spark, sf_dir):
     return rules.restrict(springs(spark, sf_dir), _boxes(spark))
@@ -235,10 +235,8 @@ def mint_ids(spark, sf_dir):
 
 
 @query("""WITH r AS (SELECT c_custkey AS key, 'node/' || c_custkey AS a, 'way/' || (c_custkey // 2) AS b FROM customer),
-g AS (SELECT 'known_' || c_custkey AS spring, c_custkey AS entry, 'way/' || c_custkey AS ref FROM customer WHERE c_custkey % 3 = 0),
-best AS (SELECT r.key, min((entry, spring)) AS m FROM r JOIN g ON g.ref = r.a OR g.ref = r.b GROUP BY r.key),
-given AS (SELECT key, m[2] AS spring, row_number() OVER (PARTITION BY m[1] ORDER BY key) AS k FROM best)
-SELECT r.key, coalesce(given.spring, 'whs_' || substr(sha256(r.a), 1, 12)) AS spring, CASE WHEN given.spring IS NULL THEN 'minted' ELSE 'known' END AS how FROM r LEFT JOIN given ON given.key = r.key AND given.k = 1""")
+g AS (SELECT 'known_' || c_custkey AS spring, c_custkey AS entry, 'way/' || c_custkey AS ref FROM customer WHERE c_custkey % 3 = 0)
+SELECT r.key, coalesce(g.spring, 'whs_' || substr(sha256(r.a), 1, 12)) AS spring, CASE WHEN g.spring IS NULL THEN 'minted' ELSE 'known' END AS how FROM r LEFT JOIN g ON g.ref = r.b""")
 def registry_resolve(spark, sf_dir):
     c = F.col("c_custkey")
     customers = table(spark, sf_dir, "customer")
@@ -247,7 +245,7 @@ def registry_resolve(spark, sf_dir):
     return registry.resolve(records, have).select("key", "spring", "how")
 
 
-@query("""SELECT coalesce(o.k, n.k) AS spring, CASE WHEN o.k IS NULL THEN 'spring.minted' WHEN n.k IS NOT NULL AND o.m IS NOT NULL THEN 'spring.returned' WHEN n.k IS NULL AND o.m IS NULL THEN 'spring.disappeared' END AS type, '2026-02-01' AS ts
+@query("""SELECT coalesce(o.k, n.k) AS spring, CASE WHEN o.k IS NULL THEN 'spring.appeared' WHEN n.k IS NOT NULL AND o.m IS NOT NULL THEN 'spring.returned' WHEN n.k IS NULL AND o.m IS NULL THEN 'spring.disappeared' END AS type, '2026-02-01' AS ts
 FROM (SELECT c_custkey AS k, CASE WHEN c_custkey % 7 = 0 THEN '2026-01-01' END AS m FROM customer WHERE c_custkey % 3 <> 0) o FULL JOIN (SELECT c_custkey AS k FROM customer WHERE c_custkey % 5 <> 0) n ON o.k = n.k
 WHERE type IS NOT NULL""")
 def registry_lifecycle(spark, sf_dir):
@@ -330,7 +328,7 @@ def daily_budget(spark, sf_dir):
 
 
 @query(r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?(</script\s*>|\z)', ' ', 'g'), '(?is)<style\b[^>]*>.*?(</style\s*>|\z)', ' ', 'g'), '(?is)<noscript\b[^>]*>.*?(</noscript\s*>|\z)', ' ', 'g'), '(?is)<template\b[^>]*>.*?(</template\s*>|\z)', ' ', 'g') AS t FROM pages),
-b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?s)<[^>]*>', ' ', 'g'), '(?i)&nbsp;', ' ', 'g'), '(?i)&amp;', '&', 'g'), '(?i)&deg;', '°', 'g') AS t FROM a)
+b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?s)<[^>]+>', ' ', 'g'), '(?i)&nbsp;', ' ', 'g'), '(?i)&deg;', '°', 'g'), '(?i)&amp;', '&', 'g') AS t FROM a)
 SELECT page_id, trim(regexp_replace(t, '[\s\x{A0}\x{3000}]+', ' ', 'g')) AS body FROM b""")
 def html_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.html_text(F.col("html")).alias("body"))

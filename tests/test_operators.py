@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions import parse, text
 from geoloom.functions.geo import distance_m
-from geoloom.operators import cluster, dedupe, registry, spatial
+from geoloom.operators import cluster, dedupe, registry, rules, spatial
 from geoloom.sources import readers, writers
 from geoloom.streaming import events as stream
 
@@ -93,7 +93,8 @@ def test_temperature(spark, raw, celsius, is_range, word):
 @pytest.mark.parametrize(
     ("value", "where", "found"),
     [(40.0, "it is 2400 m", False), (42.5, "42,5 degrees", True), (42.5, "42.50 C", True), (42.5, "42,500 people", False), (38.0, "38-40", True), (40.0, "38-40", True),
-     (40.0, "at -40", False), (-40.0, "at -40", True), (108.0, "89°-108°F", True), (7.0, "v7.1", False), (7.0, None, False)],
+     (2000.0, "2,000 yen", True), (2000.0, "2.000 Ft", True), (40.0, "38°C-40°C", True), (108.0, "89°F-108°F", True), (40.0, "at –40", False), (42.5, "42,50", False),
+     (40.0, "40.0 degrees", True), (42.5, "42.55", False), (40.0, "sub-40", False), (40.0, "at -40", False), (-40.0, "at -40", True), (108.0, "89°-108°F", True), (7.0, "v7.1", False), (7.0, None, False)],
 )
 def test_value_in_text(spark, value, where, found):
     assert one(spark, text.value_appears(F.lit(value), F.lit(where).cast("string"))) is found
@@ -107,7 +108,12 @@ def test_urls(spark, url, sound):
 def test_names(spark):
     assert one(spark, text.norm_name(F.lit("Café  No. 1"))) == one(spark, text.norm_name(F.lit("Café no 1"))) == "caféno1"
     assert one(spark, text.norm_name(F.lit(None).cast("string"))) == ""
-    assert one(spark, text.names_agree(F.lit("The Hot Springs"), F.lit("Blue"))) is True
+    agreeing = [("Bijah Spring", "Bijah Springs"), ("WILBUR SPRINGS", "Wilbur Hot Springs"), (None, "Blue"), ("Hot Springs", "Warm Springs and Hot Springs")]
+    apart = [("The Hot Springs", "Blue"), ("SPRING (HOT)", "Lightfeather"), ("Gila Hot", "Lightfeather Warm")]
+    for names, same in [*((x, True) for x in agreeing), *((x, False) for x in apart)]:
+        assert one(spark, text.names_agree(*[F.lit(n).cast("string") for n in names])) is same, names
+    assert one(spark, text.word_appears(F.lit("pool"), F.lit("a hot_pool"))) is True
+    assert one(spark, text.word_appears(F.lit(" "), F.lit("a b"))) is False
     assert one(spark, text.names_agree(F.lit("Red"), F.lit("Blue"))) is False
 
 
@@ -116,6 +122,28 @@ def test_html(spark):
     assert one(spark, text.html_text(F.lit(page))) == "a&b c d"
 
 
+def test_html_entities(spark):
+    assert one(spark, text.html_text(F.lit("40&amp;deg;C <> 5 &deg;"))) == "40&deg;C <> 5 °"
+
+
+def test_restrict_own_status(spark):
+    boxes = spark.createDataFrame([("a", 1, "view-only", None, "w1", 0.0, 0.0, 2.0, 2.0), ("b", 2, "permit", True, "w2", 0.0, 0.0, 1.0, 1.0)], "manager string, ord int, status string, bathing boolean, warning string, west double, south double, east double, north double")
+    records = spark.createDataFrame([(1, 0.5, 0.5, "unknown", None), (2, 0.5, 0.5, "closed", False), (3, 1.5, 1.5, "public", True), (4, 5.0, 5.0, "public", None)], "id long, lat double, lng double, status string, bathing boolean")
+    got = {r["id"]: (r["status"], r["bathing"], r["warnings"]) for r in rules.restrict(records, boxes).collect()}
+    assert got == {1: ("view-only", True, "w1; w2"), 2: ("closed", False, "w1; w2"), 3: ("view-only", True, "w1")}
+
+
+def test_resolve_in_three_phases(spark):
+    """By reference, then by place and name in record order, then minted; against serving records one by one."""
+    entries = [("s1", 1, ["node/1"], "Alpha", 10.0, 20.0), ("s2", 2, ["node/2"], "Beta", 10.0, 20.001), ("s3", 3, ["node/3"], "Beta", 10.0005, 20.001)]
+    have = spark.createDataFrame([(*e, "onsen") for e in entries], "spring string, entry int, refs array<string>, name string, lat double, lng double, kind string")
+    rows = [(1, ["way/9", "node/1"], "Alpha", 10.0, 20.0), (2, ["node/1"], "Alpha", 10.0, 20.0), (3, ["way/20"], "Beta", 10.0, 20.001), (4, ["way/21"], "beta", 10.0001, 20.001), (5, ["way/22"], "Beta", 10.0, 20.001), (6, ["way/23"], "Alpha", 10.0, 20.0)]
+    records = spark.createDataFrame([(*r, "onsen") for r in rows], "key int, refs array<string>, name string, lat double, lng double, kind string")
+    got = {r["key"]: (r["spring"], r["how"]) for r in registry.resolve(records, have).collect()}
+    mint = lambda ref: one(spark, parse.mint_id(F.lit(ref)))
+    assert got == {1: ("s1", "known"), 2: ("s1", "known"), 3: ("s2", "moved"), 4: ("s3", "moved"), 5: (mint("way/22"), "minted"), 6: (mint("way/23"), "minted")}
+
+
 def test_mint_id(spark):
     assert one(spark, parse.mint_id(F.lit("node/1078652088"))) == "whs_8448a909f48b"
 
