@@ -11,25 +11,96 @@ from pyspark.sql import functions as F
 
 #: The types in their canonical order.
 TYPES = ("simple", "chloride", "bicarbonate", "sulfate", "carbon-dioxide", "iron", "acidic", "iodine", "sulfur", "radioactive", "aluminium")
-#: What names a type, in the order in which it is looked for.
+#: Fixed values: (word, the type it names), in the order in which it is looked for.
 TOKENS = (
-    ("iron", "Fe(III) Fe(II) 鉄(III) 鉄(II)"),
-    ("bicarbonate", "炭酸水素塩 炭酸水素 重炭酸 重曹 HCO3"),
-    ("sulfate", "硫酸塩 硫酸 SO4 芒硝 石膏 正苦味"),
-    ("sulfur", "硫化水素 硫黄 H2S 含S"),
-    ("chloride", "塩化物 塩化 食塩 Cl"),
-    ("carbon-dioxide", "二酸化炭素 炭酸 CO2"),
-    ("radioactive", "放射能 ラドン ラジウム Rn"),
-    ("iron", "緑礬 鉄 Fe"),
-    ("acidic", "酸性"),
-    ("iodine", "ヨウ素 沃素 I"),
-    ("aluminium", "アルミニウム 明礬"),
-    ("simple", "単純"),
+    ("Fe(III)", "iron"),
+    ("Fe(II)", "iron"),
+    ("鉄(III)", "iron"),
+    ("鉄(II)", "iron"),
+    ("炭酸水素塩", "bicarbonate"),
+    ("炭酸水素", "bicarbonate"),
+    ("重炭酸", "bicarbonate"),
+    ("重曹", "bicarbonate"),
+    ("HCO3", "bicarbonate"),
+    ("硫酸塩", "sulfate"),
+    ("硫酸", "sulfate"),
+    ("SO4", "sulfate"),
+    ("芒硝", "sulfate"),
+    ("石膏", "sulfate"),
+    ("正苦味", "sulfate"),
+    ("硫化水素", "sulfur"),
+    ("硫黄", "sulfur"),
+    ("H2S", "sulfur"),
+    ("含S", "sulfur"),
+    ("塩化物", "chloride"),
+    ("塩化", "chloride"),
+    ("食塩", "chloride"),
+    ("Cl", "chloride"),
+    ("二酸化炭素", "carbon-dioxide"),
+    ("炭酸", "carbon-dioxide"),
+    ("CO2", "carbon-dioxide"),
+    ("放射能", "radioactive"),
+    ("ラドン", "radioactive"),
+    ("ラジウム", "radioactive"),
+    ("Rn", "radioactive"),
+    ("緑礬", "iron"),
+    ("鉄", "iron"),
+    ("Fe", "iron"),
+    ("酸性", "acidic"),
+    ("ヨウ素", "iodine"),
+    ("沃素", "iodine"),
+    ("I", "iodine"),
+    ("アルミニウム", "aluminium"),
+    ("明礬", "aluminium"),
+    ("単純", "simple"),
 )
 #: Words that name no type, in the order in which they are taken out.
 NOISE = (
-    "温泉 冷鉱泉 冷泉 鉱泉 泉 ナトリウム カルシウム マグネシウム カリウム アンモニウム Na Ca Mg NH4 K "
-    "アルカリ性 弱アルカリ性 弱酸性 中性 低張性 等張性 高張性 高温 低温 含有 含 弱 強 微 性 塩類 土類 塩 類 ・ - − ‐ ― ( ) （ ） 、 ,"
+    "温泉",
+    "冷鉱泉",
+    "冷泉",
+    "鉱泉",
+    "泉",
+    "ナトリウム",
+    "カルシウム",
+    "マグネシウム",
+    "カリウム",
+    "アンモニウム",
+    "Na",
+    "Ca",
+    "Mg",
+    "NH4",
+    "K",
+    "アルカリ性",
+    "弱アルカリ性",
+    "弱酸性",
+    "中性",
+    "低張性",
+    "等張性",
+    "高張性",
+    "高温",
+    "低温",
+    "含有",
+    "含",
+    "弱",
+    "強",
+    "微",
+    "性",
+    "塩類",
+    "土類",
+    "塩",
+    "類",
+    "・",
+    "-",
+    "−",
+    "‐",
+    "―",
+    "(",
+    ")",
+    "（",
+    "）",
+    "、",
+    ",",
 )
 BLANKS = r"[\s 　]"
 
@@ -44,14 +115,14 @@ def read_classification(value: Column) -> Column:
     """struct<types, residue>; the residue is what no word explains."""
     whole = F.coalesce(F.regexp_replace(value, f"^{BLANKS}+|{BLANKS}+$", ""), F.lit(""))
     start = F.struct(F.when(whole == "N/A", "").otherwise(whole).alias("rest"), F.array().cast("array<string>").alias("types"))
-    tokens = F.array(*[F.struct(F.lit(t).alias("token"), F.lit(kind).alias("type")) for kind, words in TOKENS for t in words.split()])
+    tokens = F.array(*[F.struct(F.lit(t).alias("token"), F.lit(kind).alias("type")) for t, kind in TOKENS])
 
     def take(state: Column, t: Column) -> Column:
         more = F.when(F.contains(state["rest"], t["token"]), F.array_append(state["types"], t["type"])).otherwise(state["types"])
         return F.struct(F.replace(state["rest"], t["token"], F.lit("")).alias("rest"), more.alias("types"))
 
     def finish(state: Column) -> Column:
-        rest = F.aggregate(F.array(*map(F.lit, NOISE.split())), state["rest"], lambda r, w: F.replace(r, w, F.lit("")))
+        rest = F.aggregate(F.array(*map(F.lit, NOISE)), state["rest"], lambda r, w: F.replace(r, w, F.lit("")))
         return F.struct(canonical_types(state["types"]).alias("types"), F.translate(rest, " 　", "").alias("residue"))
 
     return F.aggregate(tokens, start, take, finish)
