@@ -24,7 +24,11 @@ def shared_dir(spark: SparkSession) -> str:
     if named:
         return named
     app = spark.sparkContext.applicationId
+    if app not in _own_dirs and (named := spark.sparkContext.getCheckpointDir()):
+        return named
     if app not in _own_dirs:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="geoloom-")
         spark.sparkContext.setCheckpointDir(_own_dirs[app])
     return _own_dirs[app]
