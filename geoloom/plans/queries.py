@@ -123,12 +123,12 @@ def nearest_match(spark, sf_dir):
 
 
 @query(f"""{SPRINGS}, named AS (SELECT id, lat, lng, CASE WHEN id % 6 <> 0 THEN (id // 4)::VARCHAR ELSE '' END AS key FROM springs),
-pairs AS (SELECT a.id AS pin, b.id AS target, floor({D} + 0.5)::BIGINT AS metres FROM named a JOIN named b ON a.key = b.key AND length(a.key) >= 1 AND a.id % 11 = 0 AND b.id % 11 <> 0 AND {D} <= 1500),
+pairs AS (SELECT a.id AS pin, b.id AS target, floor({D} + 0.5)::BIGINT AS metres FROM named a JOIN named b ON a.key = b.key AND length(a.key) >= 3 AND a.id % 11 = 0 AND b.id % 11 <> 0 AND {D} <= 1500),
 mine AS (SELECT *, count(*) OVER (PARTITION BY pin) AS m FROM pairs), theirs AS (SELECT *, count(CASE WHEN m = 1 THEN 1 END) OVER (PARTITION BY target) AS t FROM mine)
 SELECT pin, target, metres, CASE WHEN m > 1 THEN 'many_right' WHEN t > 1 THEN 'claimed' ELSE 'matched' END AS verdict FROM theirs""")
 def coarse_name_bind(spark, sf_dir):
     name = F.when(F.col("id") % 6 != 0, F.concat(F.lit("The Hot Spring "), F.floor(F.col("id") / 4).cast("string")))
-    named = springs(spark, sf_dir).select("id", "lat", "lng", text.identity_name(name).alias("key")).where("key <> ''")
+    named = springs(spark, sf_dir).select("id", "lat", "lng", text.identity_name(name).alias("key")).where("length(key) >= 3")
     pins, others = named.where("id % 11 = 0"), named.where("id % 11 <> 0").select(F.col("id").alias("target"), F.col("lat").alias("r_lat"), F.col("lng").alias("r_lng"), F.col("key").alias("r_key"))
     # the grid carries the join: a common name alone would be a hot key
     pairs = spatial.radius_join(pins, others, 1500).where("key = r_key").withColumnRenamed("id", "pin")

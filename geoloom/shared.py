@@ -15,7 +15,11 @@ def shared_dir(spark: SparkSession) -> str:
     if named := spark.conf.get("spark.checkpoint.dir", None):
         return named
     app = spark.sparkContext.applicationId
+    if app not in _own and (named := spark.sparkContext.getCheckpointDir()):
+        return named
     if app not in _own:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         _own[app] = "file://" + tempfile.mkdtemp(prefix="geoloom-")
         spark.sparkContext.setCheckpointDir(_own[app])
     return _own[app]
