@@ -157,15 +157,29 @@ def training_rows(stats: DataFrame, labels: DataFrame, learn_from: Column) -> Da
 def with_scores(stats: DataFrame, model: Model) -> DataFrame:
     """``stats`` with ``score`` and ``predicted`` in place of the statistics."""
     rest = [c for c in stats.columns if c != "stats"]
-    shared = stats.sparkSession.sparkContext.broadcast(model)
+    return _scored(stats.select(*rest, "stats"), model, lambda column: column.to_pylist())
+
+
+def with_text_scores(docs: DataFrame, keep: list[str], model: Model) -> DataFrame:
+    """``keep``, ``score`` and ``predicted`` of every row; null text is empty.
+
+    One Python worker a task takes the statistics and the score, where
+    ``with_statistics`` and ``with_scores`` in a row hold two at once.
+    """
+    rows = bounded_batches(docs).select(*keep, F.col("text").alias("_whole_text"))
+    return _scored(rows, model, lambda column: [statistics(t) for t in utf8(column)])
+
+
+def _scored(rows: DataFrame, model: Model, features) -> DataFrame:
+    """The last column of ``rows``, which ``features`` makes statistics, gives way to ``score`` and ``predicted``."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+    schema = rows.select(*rows.columns[:-1]).schema
+    names = schema.names[:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array(batch.column(len(rest)).to_pylist(), float).reshape(-1, len(FEATURES))
+            x = np.array(features(batch.column(len(names))), float).reshape(-1, len(FEATURES))
             score = shared.value.score(x)
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(score), pa.array((score >= THRESHOLD).astype("i4"))], names=[*rest, "score", "predicted"]
-            )
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score), pa.array((score >= THRESHOLD).astype("i4"))], names=[*names, "score", "predicted"])
 
-    schema = stats.select(*rest).schema.add("score", "double").add("predicted", "integer")
-    return stats.select(*rest, "stats").mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema.add("score", "double").add("predicted", "integer"))

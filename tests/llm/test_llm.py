@@ -400,6 +400,15 @@ def test_quality_odd(spark, odd, empty):
         assert got.count() == frame.count() and got.where("predicted = 0").count() == 0
 
 
+def test_quality_in_one_pass(spark, odd):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    stats = quality.with_statistics(docs, ["doc_id"])
+    model = quality.fit(quality.training_rows(stats, spark.read.parquet(f"{SMALL}/labels.parquet"), F.lit(True)))
+    for frame in (docs, odd):
+        expected = quality.with_scores(quality.with_statistics(frame, ["doc_id"]), model).collect()
+        assert quality.with_text_scores(frame, ["doc_id"], model).collect() == expected
+
+
 # 10
 
 
