@@ -13,6 +13,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geo import half_up
 from ..functions.text import norm_name
 from .spatial import radius_join
 
@@ -91,7 +92,7 @@ def match_stations(springs: DataFrame, readings: DataFrame, radius_m: float = NE
     reason = (
         F.when(F.col("near") > 1, F.format_string(f"%d stations within {radius_m:g} m", "near"))
         .when(F.col("springs") > 1, F.format_string(f"station %s is within {radius_m:g} m of %d springs", "station", "springs"))
-        .when(span > agree_c, F.format_string("station readings span %.1f C", span))
+        .when(span > agree_c, F.format_string("station readings span %.1f C", half_up(span, 1)))
     )
     taken = [F.when(F.col("reason").isNull(), F.col(c)).alias(c) for c in ("station", "metres", "celsius", "measured_at", "readings")]
     return joined.withColumn("reason", reason).select("id", *taken, "reason")

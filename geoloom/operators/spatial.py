@@ -71,6 +71,31 @@ def polygon_of(points: DataFrame, edges: DataFrame, point_id: str) -> DataFrame:
     return whole.where("outer and not hole").groupBy(point_id).agg(F.min_by("poly", "ord").alias("poly"))
 
 
+def nearest_polygon(points: DataFrame, edges: DataFrame, point_id: str, most_deg: float = 0.5) -> DataFrame:
+    """(point_id, poly) for points less than ``most_deg`` from an outer ring, in plain degrees; the first polygon at a tie.
+
+    Edges are keyed by the whole-degree cells that their box, widened by
+    ``most_deg``, touches, so a point meets only the boundary around it.
+    """
+    span = lambda a, b: F.sequence(F.floor(F.least(a, b) - most_deg), F.floor(F.greatest(a, b) + most_deg))
+    outer = edges.where("ring = 0").select("poly", "ord", "lat1", "lng1", "lat2", "lng2")
+    keyed = outer.withColumn("_y", F.explode(span(F.col("lat1"), F.col("lat2")))).withColumn("_x", F.explode(span(F.col("lng1"), F.col("lng2"))))
+    dx, dy = F.col("lng2") - F.col("lng1"), F.col("lat2") - F.col("lat1")
+    x, y, long = F.col("lng") - F.col("lng1"), F.col("lat") - F.col("lat1"), dx * dx + dy * dy
+    t = F.when(long == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (x * dx + y * dy) / F.nullif(long, F.lit(0.0)))))
+    near = points.select(point_id, "lat", "lng", F.floor("lat").alias("_y"), F.floor("lng").alias("_x")).join(keyed, ["_y", "_x"])
+    away = near.withColumn("_d", F.hypot(x - t * dx, y - t * dy)).where(F.col("_d") < most_deg)
+    return away.groupBy(point_id).agg(F.min_by("poly", F.struct("_d", "ord")).alias("poly"))
+
+
+def country_of(points: DataFrame, edges: DataFrame, point_id: str, unknown: str = "XX") -> DataFrame:
+    """(point_id, poly, exact) of every point: the polygon that holds it, else the nearest within half a degree, else ``unknown``."""
+    inside = polygon_of(points, edges, point_id)
+    nearest = nearest_polygon(points.join(inside, point_id, "left_anti"), edges, point_id)
+    found = inside.withColumn("exact", F.lit(True)).unionByName(nearest.withColumn("exact", F.lit(False)))
+    return points.select(point_id).join(found, point_id, "left").select(point_id, F.coalesce("poly", F.lit(unknown)).alias("poly"), F.coalesce("exact", F.lit(False)).alias("exact"))
+
+
 def unique_both_ways(pairs: DataFrame, left_id: str, right_id: str) -> DataFrame:
     """``pairs`` with a ``verdict``: matched, or why not.
 

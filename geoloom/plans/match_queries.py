@@ -32,7 +32,7 @@ def station_readings(spark, sf_dir):
 
 @query(f"""{BOTH}, {_READINGS}, {_GROUPED}, pairs AS (SELECT a.id, b.*, floor({D_STATION} + 0.5)::BIGINT AS m, count(*) OVER (PARTITION BY a.id) AS near FROM springs a JOIN g b ON {NEAR_STATION} AND a.celsius IS NULL AND {D_STATION} <= 200),
 claimed AS (SELECT *, count(CASE WHEN near = 1 THEN 1 END) OVER (PARTITION BY site) AS k FROM pairs),
-judged AS (SELECT *, CASE WHEN near > 1 THEN near || ' stations within 200 m' WHEN k > 1 THEN 'station ' || site || ' is within 200 m of ' || k || ' springs' WHEN hi - lo > 2 THEN printf('station readings span %.1f C', hi - lo) END AS reason FROM claimed)
+judged AS (SELECT *, CASE WHEN near > 1 THEN near || ' stations within 200 m' WHEN k > 1 THEN 'station ' || site || ' is within 200 m of ' || k || ' springs' WHEN hi - lo > 2 THEN printf('station readings span %.1f C', floor((hi - lo) * 10 + 0.5) / 10) END AS reason FROM claimed)
 SELECT DISTINCT id, CASE WHEN reason IS NULL THEN site END AS station, CASE WHEN reason IS NULL THEN m END AS metres, CASE WHEN reason IS NULL THEN c END AS celsius, CASE WHEN reason IS NULL THEN day END AS measured_at, CASE WHEN reason IS NULL THEN n END AS readings, reason FROM judged""")
 def station_match(spark, sf_dir):
     return matching.match_stations(springs(spark, sf_dir).where("celsius is null").select("id", "lat", "lng"), _readings(spark, sf_dir))
@@ -67,7 +67,7 @@ def group_match(spark, sf_dir):
 _TOLERANCES = {"ph": 0.2, "sodium": 5.0}
 
 
-@query(f"""{BOTH}, rows AS (SELECT s.station, s.r_lat, s.r_lng, l_orderkey * 10 + l_linenumber AS o, l_partkey AS p, strftime(l_shipdate, '%Y') AS y, CASE WHEN l_linenumber % 2 = 0 THEN 7 + (s.station % 3) * 0.25 * (l_linenumber % 3) END AS ph, 100 + (s.station % 2) * 4.0::DOUBLE * l_linenumber AS na FROM lineitem JOIN stations s ON s.station = l_suppkey),
+@query(f"""{BOTH}, rows AS (SELECT s.station, s.r_lat, s.r_lng, l_orderkey * 10 + l_linenumber AS o, l_partkey AS p, strftime(l_shipdate, '%Y') AS y, CASE WHEN l_linenumber % 2 = 0 THEN 7 + (s.station % 3) * 0.25::DOUBLE * (l_linenumber % 3) END AS ph, 100 + (s.station % 2) * 4.0::DOUBLE * l_linenumber AS na FROM lineitem JOIN stations s ON s.station = l_suppkey),
 g AS (SELECT printf('%.5f,%.5f', r_lat, r_lng) AS site, any_value(r_lat) AS r_lat, any_value(r_lng) AS r_lng, max(y) AS y, CASE WHEN max(ph) - min(ph) <= 0.2 THEN arg_min(ph, (o, p)) FILTER (ph IS NOT NULL) END AS v_ph, CASE WHEN max(na) - min(na) <= 5 THEN arg_min(na, (o, p)) END AS v_na,
 concat_ws(',', CASE WHEN max(ph) - min(ph) > 0.2 THEN 'ph' END, CASE WHEN max(na) - min(na) > 5 THEN 'sodium' END) AS apart FROM rows GROUP BY 1),
 pairs AS (SELECT a.id, b.*, floor({D_STATION} + 0.5)::BIGINT AS m, count(*) OVER (PARTITION BY a.id) AS near FROM springs a JOIN g b ON {NEAR_STATION} AND a.id % 3 = 0 AND {D_STATION} <= 200),

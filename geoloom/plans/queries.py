@@ -430,4 +430,4 @@ def polygon_lookup(spark, sf_dir):
     return spatial.polygon_of(springs(spark, sf_dir), edges, "id").select("id", "poly")
 
 
-from . import field_queries, match_queries  # noqa: E402, F401  register their own
+from . import admission_queries, field_queries, match_queries  # noqa: E402, F401  register their own
