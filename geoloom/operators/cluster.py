@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,25 +14,54 @@ from .spatial import radius_join
 MOST_ROUNDS = 60
 
 
+def _forests(edges: DataFrame) -> DataFrame:
+    """Edges (a, b) with the same components: each task hangs the nodes of its own edges under their smallest one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (y := above.setdefault(x, x)) != x:
+                above[x] = x = above[y]
+            return x
+
+        for batch in batches:
+            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                a, b = top(a), top(b)
+                if a != b:
+                    above[max(a, b)] = min(a, b)
+        pairs = [(x, top(x)) for x in above]
+        hung = [(x, y) for x, y in pairs if x != y]
+        for i in range(0, len(hung), 1 << 16):
+            yield pa.record_batch([pa.array([p[k] for p in hung[i : i + (1 << 16)]], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    return edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).mapInArrow(run, "a long, b long")
+
+
+def _settled(stars: DataFrame) -> bool:
+    """Whether each node has one edge, to a node without any: then its component is known."""
+    ends = stars.select(F.col("a").alias("node"), F.lit(1).alias("leaf"), F.lit(0).alias("hub")).unionByName(stars.select(F.col("b").alias("node"), F.lit(0).alias("leaf"), F.lit(1).alias("hub")))
+    return ends.groupBy("node").agg(F.sum("leaf").alias("leaf"), F.max("hub").alias("hub")).where("leaf > 1 or leaf = 1 and hub = 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root): the smallest node that each node of ``edges`` (a, b) reaches.
+    """(node, root): the smallest node that each node of ``edges`` (a, b; whole numbers) reaches.
 
-    Alternating large and small stars.  Rounds are written to the shared folder
-    and grow with the logarithm of the longest chain; a run that doesn't settle
-    in ``MOST_ROUNDS`` raises.
+    Each task first contracts its own edges (it holds one entry a node of
+    theirs); alternating large and small stars join what is left.  Rounds are
+    written to the shared folder and grow with the logarithm of the longest
+    chain; a run that doesn't settle in ``MOST_ROUNDS`` raises.
     """
-    stars, before = written(edges.select("a", "b").where("a <> b").distinct(), "stars"), None
+    stars = written(_forests(edges.where("a <> b")), "stars")
     for _ in range(MOST_ROUNDS):
+        if _settled(stars):
+            return stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         stars = written(small.where("a <> b").distinct(), "stars")
-        now = tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == before:
-            return stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = now
     raise RuntimeError("the clusters did not settle")
 
 
