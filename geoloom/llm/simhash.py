@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.cluster import components
 from .common import bounded_batches, saved, utf8
 
 SHINGLE = 3
@@ -185,29 +186,6 @@ def hot_links(fps: DataFrame) -> DataFrame:
     return index.join(hubs, ["bits", "rest"]).where("a <> b").select("a", "b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node with a link; root is the smallest node reachable.
-
-    Alternating large-star and small-star steps; each round is written to the
-    shared folder, and the number of rounds grows with the logarithm of the
-    longest chain.
-    """
-    stars = saved(edges.where("a <> b").distinct(), "stars")
-    before = None
-    while True:
-        both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hub = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(hub, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        hub = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(hub, "a")
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(hub.select("a", F.col("m").alias("b")))
-        stars = saved(small.where("a <> b").distinct(), "stars")
-        now = tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if now == before:
-            return stars.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = now
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every row of ``docs``.
 
