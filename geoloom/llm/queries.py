@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_topk, lm_score, mixing, one_bit, packing, pii, quality, simhash, token_count, token_files
+from . import centroids, exact_topk, line_dedup, lm_score, mixing, one_bit, packing, pii, quality, simhash, spelling, token_count, token_files
 from .common import id_remainder, saved, scratch_path
 
 
@@ -81,10 +81,23 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings")).drop("centroid")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
-    own = (op1_lm_score, op2_mix, op3_pii, op4_token_files, op5_pack, op6_exact_topk, op7_token_count, op8_quality, op9_one_bit, op10_simhash)
+    own = (op1_lm_score, op2_mix, op3_pii, op4_token_files, op5_pack, op6_exact_topk, op7_token_count, op8_quality, op9_one_bit, op10_simhash, op11_line_dedup, op12_spelling, op13_centroids)
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
@@ -143,8 +156,75 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM (
 ) WHERE rank <= 5
 """
 
+_STRIP = r"'^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'"
+#: DuckDB's lower() changes other letters too.
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+OP11_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, 9223372036854775807) AS id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT r, doc_id, id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
+k AS (SELECT *, translate(regexp_replace(line, {_STRIP}), {_LOWER}) AS key FROM l),
+s AS (SELECT key, min(id) AS owner FROM k WHERE length(key) >= 10 GROUP BY key HAVING min(id) <> max(id)),
+m AS (SELECT k.*, s.key IS NOT NULL AND k.id <> s.owner AS gone FROM k LEFT JOIN s USING (key))
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY r
+"""
+
+
+def _crc_table() -> str:
+    """The 256 remainders of the reflected polynomial 0xEDB88320, as a list in SQL."""
+    table = []
+    for x in range(256):
+        for _ in range(8):
+            x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+        table.append(x)
+    return f"{table}::BIGINT[]"
+
+
+OP12_SQL = f"""
+WITH RECURSIVE t AS (SELECT {_crc_table()} AS t),
+o AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), {_LOWER}) AS run FROM documents),
+g AS (SELECT doc_id, run, count(*) AS c FROM o WHERE length(run) >= 5 GROUP BY doc_id, run),
+b AS (SELECT run, c, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x FROM g),
+h AS (SELECT run, c, xor(list_reduce(list_transform(range(1, len(x) + 1, 2), lambda i: ('0x' || substr(x, i, 2))::BIGINT), lambda h, y: xor(h >> 8, t[(xor(h, y) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS h FROM b, t),
+n AS (SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(c)::BIGINT AS n FROM h GROUP BY word),
+w AS MATERIALIZED (SELECT word, n FROM n WHERE length(word) >= 5 AND n >= 3),
+e AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+p AS (
+  SELECT a.word, b.word AS near, b.n AS m FROM e a JOIN e b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM e a JOIN w b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM e a JOIN w b ON a.rest = b.word
+), f AS MATERIALIZED (
+  SELECT w.word, w.n, count(near) AS n_near, CASE WHEN max(m) >= 2 * w.n THEN arg_min(near, (-m, near)) END AS form, CASE WHEN max(m) >= 2 * w.n THEN max(m) END AS form_n
+  FROM w LEFT JOIN p USING (word) GROUP BY w.word, w.n
+), r(word, top) AS (SELECT word, word FROM f UNION ALL SELECT r.word, f.form FROM r JOIN f ON f.word = r.top WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, r.top AS root, f.n, f.n_near, f.form_n FROM f JOIN r USING (word) JOIN f g ON g.word = r.top AND g.form IS NULL
+"""
+
+
+def _op13_sql(k: int = 8, rounds: int = 10) -> str:
+    away = "list_sum(list_transform(list_zip(v.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT"
+    steps = []
+    for i in range(rounds):
+        steps.append(f"""a{i} AS MATERIALIZED (SELECT r, arg_min(j, (d, j)) AS j FROM (SELECT r, j, {away} AS d FROM v, c{i} c) GROUP BY r),
+s{i} AS (SELECT j, i, sum(x)::HUGEINT AS s, count(*)::HUGEINT AS n FROM (SELECT j, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM v JOIN a{i} USING (r)) GROUP BY j, i),
+m{i} AS (SELECT j, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS v FROM s{i} GROUP BY j),
+c{i + 1} AS MATERIALIZED (SELECT c.j, coalesce(m.v, c.v) AS v FROM c{i} c LEFT JOIN m{i} m USING (j))""")
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || coalesce(vec_id::VARCHAR, '')), v) - 1 AS j, v FROM v QUALIFY j < {k}),
+{", ".join(steps)},
+e AS (SELECT vec_id, r, j, {away} AS d FROM v, c{rounds} c),
+b AS (SELECT any_value(vec_id) AS vec_id, arg_min(j, (d, j)) AS cluster, min(d) AS distance FROM e GROUP BY r),
+t AS (SELECT j, sha256(list_aggregate(list_transform(v, lambda x: x::VARCHAR), 'string_agg', ',')) AS centroid_sha256 FROM c{rounds})
+SELECT vec_id, cluster::INT AS cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia, centroid_sha256
+FROM b JOIN t ON t.j = b.cluster
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     import corpus_pipeline
 
-    return {"op2_mix": OP2_SQL, "op6_exact_topk": OP6_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op2_mix": OP2_SQL, "op6_exact_topk": OP6_SQL, "op11_line_dedup": OP11_SQL, "op12_spelling": OP12_SQL, "op13_centroids": _op13_sql()} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
