@@ -113,7 +113,7 @@ def grouped(words):
         for w in same:
             near[w] |= same - {w}
     form = {}
-    for w, others in near.items():
+    for w, others in ((w, others) for w, others in near.items() if others):
         best = min(others, key=lambda x: (-words[x], x))
         if words[best] >= 2 * words[w]:
             form[w] = best
