@@ -28,10 +28,19 @@ def grid(radius_m: float) -> tuple[float, int]:
     return 360.0 / columns, columns
 
 
+#: Rows of cells that reach beyond this latitude have one column: all meridians meet there.
+POLAR_DEG = 89.9
+
+
+def _column(y: Column, x: Column, size: float) -> Column:
+    return F.when(F.greatest(F.abs(y), F.abs(y + 1)) * size > POLAR_DEG, F.lit(0).cast("long")).otherwise(x)
+
+
 def cell(lat: Column, lng: Column, radius_m: float) -> Column:
     """The grid cell of a point; columns wrap at the antimeridian."""
     size, columns = grid(radius_m)
-    return F.struct(F.floor(lat / size).alias("y"), F.pmod(F.floor((lng + 180) / size), F.lit(columns)).alias("x"))
+    y = F.floor(lat / size)
+    return F.struct(y.alias("y"), _column(y, F.pmod(F.floor((lng + 180) / size), F.lit(columns)), size).alias("x"))
 
 
 def cells_near(lat: Column, lng: Column, radius_m: float) -> Column:
@@ -42,7 +51,8 @@ def cells_near(lat: Column, lng: Column, radius_m: float) -> Column:
     x = F.floor((lng + 180) / size)
     wide = F.array_distinct(F.transform(F.sequence(-span, span), lambda i: F.pmod(x + i, F.lit(columns))))
     y = F.floor(lat / size)
-    return F.flatten(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda j: F.transform(wide, lambda c: F.struct((y + j).alias("y"), c.alias("x")))))
+    rows = F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda j: F.transform(wide, lambda c: F.struct((y + j).alias("y"), _column(y + j, c, size).alias("x"))))
+    return F.array_distinct(F.flatten(rows))
 
 
 def in_box(lat: Column, lng: Column, west: Column, south: Column, east: Column, north: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.geo import cell, cells_near, crosses, distance_m, half_up, in_box
+from ..functions.geo import DEGREE_M, cell, cells_near, crosses, distance_m, half_up, in_box
 
 
 def radius_join(left: DataFrame, right: DataFrame, radius_m: float, how: str = "inner") -> DataFrame:
@@ -45,6 +45,65 @@ def nearest_within(left: DataFrame, right: DataFrame, left_id: str, right_order:
     return pairs.withColumn("_rank", rank).where("_rank = 1").drop("_rank", "_exact")
 
 
+#: Cells of the first level are 45 degrees wide, those of each further one an eighth of that: the last about 150 m.
+FIRST_DEG, SPLIT, LEVELS = 45.0, 8, 6
+#: Metres of room for rounding.
+ROUNDING_M = 0.01
+
+
+def nearest_anywhere(left: DataFrame, right: DataFrame, left_id: str, right_id: str) -> DataFrame:
+    """(left_id, right_id, metres): each left row's nearest right row at any distance; the smallest ``right_id`` at a tie.
+
+    ``left`` has lat and lng, ``right`` r_lat and r_lng; rows without a position take no part, and without
+    right rows there are none.  Branch and bound by levels of ever smaller cells: each cell with rows has one of
+    them as its representative, so a point knows a row within reach, and cells that lie further away than that
+    however their rows lie are dropped.  What is left is replaced by its smaller cells, by an
+    equi-join a level; at the end the rows of the last cells are compared.
+    """
+    size = lambda level: FIRST_DEG / SPLIT**level
+    turned = F.pmod(F.col("r_lng") + 180, F.lit(360.0))
+    last = LEVELS - 1
+    rows = right.where("r_lat is not null and r_lng is not null").select(
+        F.col(right_id).alias("_rep"), F.col("r_lat").alias("_y1"), F.col("r_lng").alias("_x1"), F.floor((F.col("r_lat") + 90) / size(last)).alias("_y"), F.floor(turned / size(last)).alias("_x")
+    )
+    cells = {last: rows.groupBy("_y", "_x").agg(F.min(F.struct("_rep", "_y1", "_x1")).alias("r")).select("_y", "_x", "r.*")}
+    up = lambda c: F.floor(F.col(c) / SPLIT)
+    for level in range(last - 1, -1, -1):
+        cells[level] = cells[level + 1].groupBy(up("_y").alias("_y"), up("_x").alias("_x")).agg(F.min(F.struct("_rep", "_y1", "_x1")).alias("r")).select("_y", "_x", "r.*")
+    # at most 5 x 8 cells
+    first = [F.struct(*[F.lit(r[c]).alias(c) for c in ("_y", "_x", "_y1", "_x1")]) for r in cells[0].collect()]
+    kind = dict(right.dtypes)[right_id]
+    if not first:
+        return left.select(left_id, F.lit(None).cast(kind).alias(right_id), F.lit(None).cast("long").alias("metres")).where("false")
+    away = distance_m(F.col("lat"), F.col("lng"), F.col("_y1"), F.col("_x1"))
+    open_cells = left.where("lat is not null and lng is not null").select(left_id, "lat", "lng", F.explode(F.array(*first)).alias("c")).select(left_id, "lat", "lng", "c.*")
+    for level in range(LEVELS):
+        # along a meridian, then a parallel: no two points of a cell are further apart
+        south = F.col("_y") * size(level) - 90
+        widest = F.when((south < 0) & (south + size(level) > 0), 1.0).otherwise(F.cos(F.radians(F.least(F.abs(south), F.abs(south + size(level))))))
+        across = size(level) * DEGREE_M * (1 + widest)
+        reach = F.min("_d").over(W.partitionBy(left_id))
+        near = open_cells.withColumn("_d", away).withColumn("_reach", reach).where(F.col("_d") - across <= F.col("_reach") + ROUNDING_M).select(left_id, "lat", "lng", "_y", "_x")
+        if level == last:
+            open_cells = near.join(rows, ["_y", "_x"])
+            break
+        below = cells[level + 1].select(up("_y").alias("_py"), up("_x").alias("_px"), "_y", "_x", "_y1", "_x1")
+        # the second level has at most 40 x 64 cells
+        below = F.broadcast(below) if level == 0 else below
+        open_cells = near.withColumnsRenamed({"_y": "_py", "_x": "_px"}).join(below, ["_py", "_px"]).select(left_id, "lat", "lng", "_y", "_x", "_y1", "_x1")
+    best = open_cells.withColumn("_d", away).groupBy(left_id).agg(F.min(F.struct("_d", "_rep")).alias("b"))
+    return best.select(left_id, F.col("b._rep").alias(right_id), half_up(F.col("b._d")).cast("long").alias("metres"))
+
+
+def gaps(left: DataFrame, right: DataFrame, radius_m: float, left_id: str, right_id: str) -> DataFrame:
+    """(left_id, right_id, metres): left rows without a right row within ``radius_m`` (whole metres), and their nearest one, null if there is none.
+
+    Only rows that the radius leaves over look further.  A row without a position has no neighbour and no nearest one.
+    """
+    alone = without_neighbour(left, right, radius_m).select(left_id, "lat", "lng")
+    return alone.select(left_id).join(nearest_anywhere(alone, right, left_id, right_id), left_id, "left")
+
+
 def box_join(points: DataFrame, boxes: DataFrame) -> DataFrame:
     """Points with each box (west, south, east, north) that holds them.
 
@@ -66,7 +125,10 @@ def polygon_of(points: DataFrame, edges: DataFrame, point_id: str) -> DataFrame:
     boxes = edges.select("poly", "ord", "west", "south", "east", "north").distinct()
     near = box_join(points.select(point_id, "lat", "lng"), boxes).select(point_id, "lat", "lng", "poly", "ord")
     hit = crosses(F.col("lat"), F.col("lng"), F.col("lat1"), F.col("lng1"), F.col("lat2"), F.col("lng2"))
-    rings = near.join(edges.select("poly", "ring", "lat1", "lng1", "lat2", "lng2"), "poly").groupBy(point_id, "poly", "ord", "ring").agg((F.sum(hit.cast("int")) % 2 == 1).alias("inside"))
+    # only edges in a point's band of a degree can cross its ray; a polygon alone would be a hot key
+    band = F.explode(F.sequence(F.floor(F.least("lat1", "lat2")), F.floor(F.greatest("lat1", "lat2"))))
+    banded = edges.select("poly", "ring", "lat1", "lng1", "lat2", "lng2", band.alias("_band"))
+    rings = near.withColumn("_band", F.floor("lat")).join(banded, ["poly", "_band"]).groupBy(point_id, "poly", "ord", "ring").agg((F.sum(hit.cast("int")) % 2 == 1).alias("inside"))
     whole = rings.groupBy(point_id, "poly", "ord").agg(F.bool_or((F.col("ring") == 0) & F.col("inside")).alias("outer"), F.bool_or((F.col("ring") > 0) & F.col("inside")).alias("hole"))
     return whole.where("outer and not hole").groupBy(point_id).agg(F.min_by("poly", "ord").alias("poly"))
 

@@ -153,11 +153,12 @@ def bbox_restrict(spark, sf_dir):
     return rules.restrict(springs(spark, sf_dir), _boxes(spark))
 
 
-@query(f"{BOTH} SELECT a.station FROM stations a WHERE NOT EXISTS (SELECT 1 FROM springs b WHERE b.completeness >= 67 AND floor({metres_sql('b', 'a', 'r_lat', 'r_lng')} + 0.5) <= 300)")
+@query(f"""{BOTH}, pairs AS (SELECT a.station, b.id, {metres_sql('b', 'a', 'r_lat', 'r_lng')} AS d FROM stations a JOIN springs b ON b.completeness >= 67),
+best AS (SELECT station, arg_min(id, (d, id)) AS nearest, floor(min(d) + 0.5)::BIGINT AS metres FROM pairs GROUP BY station) SELECT * FROM best WHERE metres > 300""")
 def gap_worklist(spark, sf_dir):
     points = stations(spark, sf_dir).withColumnsRenamed({"r_lat": "lat", "r_lng": "lng"})
-    have = springs(spark, sf_dir).where("completeness >= 67").select(F.col("lat").alias("r_lat"), F.col("lng").alias("r_lng"))
-    return spatial.without_neighbour(points, have, 300).select("station")
+    have = springs(spark, sf_dir).where("completeness >= 67").select(F.col("id").alias("nearest"), F.col("lat").alias("r_lat"), F.col("lng").alias("r_lng"))
+    return spatial.gaps(points, have, 300, "station", "nearest")
 
 
 _SITES = f"""edges AS MATERIALIZED (SELECT a.id AS x, b.id AS y FROM springs a JOIN springs b ON {NEAR} AND a.id <> b.id AND {D} <= 500),
@@ -234,9 +235,9 @@ def mint_ids(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", parse.mint_id(F.concat(F.lit("node/"), F.col("o_orderkey").cast("string"))).alias("spring"))
 
 
-@query("""WITH r AS (SELECT c_custkey AS key, 'node/' || c_custkey AS a, 'way/' || (c_custkey // 2) AS b FROM customer),
+@query("""WITH r AS (SELECT c_custkey AS key, 'node/' || c_custkey AS a, 'way/' || (c_custkey // 2) AS b, min(c_custkey) OVER (PARTITION BY c_custkey // 2) AS first FROM customer),
 g AS (SELECT 'known_' || c_custkey AS spring, c_custkey AS entry, 'way/' || c_custkey AS ref FROM customer WHERE c_custkey % 3 = 0)
-SELECT r.key, coalesce(g.spring, 'whs_' || substr(sha256(r.a), 1, 12)) AS spring, CASE WHEN g.spring IS NULL THEN 'minted' ELSE 'known' END AS how FROM r LEFT JOIN g ON g.ref = r.b""")
+SELECT r.key, coalesce(g.spring, 'whs_' || substr(sha256('node/' || r.first), 1, 12)) AS spring, CASE WHEN g.spring IS NULL AND r.first = r.key THEN 'minted' ELSE 'known' END AS how FROM r LEFT JOIN g ON g.ref = r.b""")
 def registry_resolve(spark, sf_dir):
     c = F.col("c_custkey")
     customers = table(spark, sf_dir, "customer")
@@ -430,4 +431,4 @@ def polygon_lookup(spark, sf_dir):
     return spatial.polygon_of(springs(spark, sf_dir), edges, "id").select("id", "poly")
 
 
-from . import admission_queries, field_queries, match_queries  # noqa: E402, F401  register their own
+from . import admission_queries, field_queries, match_queries, registry_queries  # noqa: E402, F401  register their own
