@@ -155,7 +155,8 @@ def known_counts(rows: DataFrame) -> DataFrame:
 def upsert(ledger: DataFrame, batch: DataFrame, now: Column, days: int = 7) -> DataFrame:
     """The ledger (key, at, claims) with the batch's entries put in, without those older than ``days`` or undated.
 
-    The latest entry of a key stays; the batch's at a tie.
+    The batch's entry of a key takes the ledger's place whatever its date (the latest of several);
+    if it is undated or too old, the key goes.
     """
     both = ledger.withColumn("_new", F.lit(0)).unionByName(batch.withColumn("_new", F.lit(1)), allowMissingColumns=True)
     others = [c for c in both.columns if c not in ("key", "_new")]
