@@ -92,3 +92,20 @@ def private_ipv4(address: Column) -> Column:
     part = F.transform(F.split(address, r"\."), lambda x: x.try_cast("int"))
     a, b = F.get(part, F.lit(0)), F.get(part, F.lit(1))
     return a.isin(0, 10, 127) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254)) | ((a == 100) & b.between(64, 127))
+
+
+def private_address(address: Column) -> Column:
+    """Whether an IPv4 or IPv6 address is none of the public ones; what is no address at all counts as private.
+
+    IPv4 in its IPv6 form is judged as what it is.
+    """
+    low = F.lower(F.trim(address))
+    inner = F.regexp_extract(low, r"^::(?:ffff:)?([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)$", 1)
+    v4 = F.when(inner != "", inner).otherwise(low)
+    octets = F.transform(F.split(v4, r"\."), lambda x: F.when(x.rlike("^[0-9]{1,3}$"), x.cast("int")))
+    is_v4 = (F.size(octets) == 4) & F.forall(octets, lambda x: F.coalesce(x <= 255, F.lit(False)))
+    groups = F.split(low, ":")
+    short = F.size(F.split(low, "::")) == 2
+    is_v6 = low.rlike("^[0-9a-f:]+$") & F.forall(groups, lambda x: F.length(x) <= 4) & F.when(short, F.size(groups) <= 9).otherwise((F.size(groups) == 8) & ~F.exists(groups, lambda x: x == "")) & (F.size(F.split(low, "::")) <= 2)
+    own_v6 = low.isin("::", "::1") | low.startswith("fe80") | low.rlike("^f[cd]")
+    return F.coalesce(F.when(is_v4, private_ipv4(v4) | (F.get(octets, F.lit(0)) >= 224)).when(is_v6, own_v6), F.lit(True))

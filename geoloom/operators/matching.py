@@ -37,8 +37,8 @@ def name_agreement(a: Column, b: Column) -> Column:
 
 def join_readings(stations: DataFrame, results: DataFrame) -> DataFrame:
     """``results`` (station, value, unit, measured_at) in °C at their stations; other units and unknown stations drop out."""
-    unit = F.regexp_replace(F.lower(F.trim("unit")), "[^a-z]", "")
-    celsius = F.when(unit.isin("c", "degc"), F.col("value")).when(unit.isin("f", "degf"), (F.col("value") - 32) * 5 / 9)
+    unit = F.lower(F.trim("unit"))
+    celsius = F.when(unit.isin("c", "deg c"), F.col("value")).when(unit.isin("f", "deg f"), half_up((F.col("value") - 32) * 5 / 9, 1))
     read = results.withColumn("celsius", celsius).where(finite(F.col("celsius"))).select("station", "measured_at", "celsius")
     return read.join(stations, "station")
 
