@@ -18,7 +18,7 @@ DASHES = "[-\u2212\u2013]"
 
 
 @F.pandas_udf(T.StringType())
-def _nfkc(names: pd.Series) -> pd.Series:
+def nfkc(names: pd.Series) -> pd.Series:
     import unicodedata
 
     return names.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
@@ -31,7 +31,7 @@ def norm_name(name: Column, ascii_only: bool = False) -> Column:
     nothing and keeps the expression in the JVM.
     """
     name = F.coalesce(name, F.lit(""))
-    return F.regexp_replace(F.lower(name if ascii_only else _nfkc(name)), r"[^\p{L}\p{N}]+", "")
+    return F.regexp_replace(F.lower(name if ascii_only else nfkc(name)), r"[^\p{L}\p{N}]+", "")
 
 
 def identity_name(name: Column) -> Column:

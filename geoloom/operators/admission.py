@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import nfkc
 from .spatial import box_join
 
 #: Features to look at, those with water, and names that name nothing.
@@ -22,8 +23,6 @@ EVIDENCE_KEYS = (
     "temperature", "operator", "website", "contact:website", "wikidata", "wikipedia", "fee", "charge", "opening_hours", "description",
     "tourism", "amenity", "leisure", "building", "bath:type", "access", "ele", "source", "note", "check_date",
 )
-#: Signs of such a name in their wide forms, and their plain ones.
-WIDE, NARROW = "０１２３４５６７８９Ｃｃ－＿．＃　", "0123456789Cc-_.# "
 #: A catalogue's words for temperatures nobody measured; how far its °F and °C may lie apart.
 CATALOGUE_CODES = {"B": "boiling", "H": "hot", "W": "warm"}
 SCALES_APART_C = 1.5
@@ -41,15 +40,21 @@ def element_reject(tags: Column, lat: Column, lng: Column) -> Column:
 
 def suspected_borehole(tags: Column) -> Column:
     """Why a hot spring's name looks like a borehole's number, or null."""
-    name = F.trim(F.translate(F.coalesce(tags["name"], F.lit("")), WIDE, NARROW))
+    raw = F.coalesce(tags["name"], F.lit(""))
+    plain = raw.rlike("^[\\x00-\\x7F]*$")
+    # only other names go through Python
+    name = F.regexp_replace(F.when(plain, raw).otherwise(nfkc(F.when(~plain, raw))), r"^[\s\x{A0}\x{3000}]+|[\s\x{A0}\x{3000}]+$", "")
     told = F.exists(F.array(*[_said(tags[k]) for k in EVIDENCE_KEYS]), lambda x: x) | F.exists(F.map_keys(tags), lambda k: k.startswith("addr:"))
     suspect = (tags["natural"] == "hot_spring") & name.rlike(IDENTIFIER_NAME) & ~told
     return F.when(suspect, F.concat(F.lit('identifier-style name ("'), tags["name"], F.lit('") with no other spring attributes')))
 
 
 def shortest(number: Column) -> Column:
-    """A coordinate as the shortest text that reads back as it: 44 and not 44.0."""
-    return F.regexp_replace(number.cast("string"), r"\.0$", "")
+    """A coordinate as the shortest text that reads back as it: 44 and not 44.0, 0.0005 and not 5.0E-4, 1e-7 only below a millionth."""
+    text = number.cast("string")
+    plain = F.regexp_replace(number.cast("decimal(38,20)").cast("string"), r"\.?0+$", "")
+    small = F.regexp_replace(F.lower(text), r"\.0e", "e")
+    return F.when(~F.contains(text, F.lit("E")), F.regexp_replace(text, r"\.0$", "")).when(F.abs(number) < 1e-6, small).otherwise(plain)
 
 
 def decimals(number: Column) -> Column:
