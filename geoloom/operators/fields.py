@@ -295,8 +295,9 @@ def apply(records: DataFrame, claims: DataFrame) -> DataFrame:
     if _type_at(schema, "quality.curated"):
         pick = lambda path: get_path(path) if _type_at(schema, path) else F.lit(None).cast("string")
         known = known_fields(pick("name"), F.col("temperature.celsius"), pick("access.price"), *[F.coalesce(pick(p), F.lit("unknown")) for p in ("clothing.policy", "hours.status", "type")])
-        anew = F.struct(completeness(known).cast(_type_at(schema, "quality.completeness")).alias("completeness"), known.alias("known"), F.lit(True).alias("curated"))
-        done = done.withColumn("quality", F.when(F.col("_claims").isNotNull(), F.struct(*[anew[n].alias(n) for n in schema["quality"].dataType.names])).otherwise(F.col("quality")))
+        anew = {"completeness": completeness(known), "known": known, "curated": F.lit(True)}
+        parts = [(anew[f.name].cast(f.dataType) if f.name in anew and f.name != "known" else anew.get(f.name, F.col("quality")[f.name])).alias(f.name) for f in schema["quality"].dataType.fields]
+        done = done.withColumn("quality", F.when(F.col("_claims").isNotNull(), F.struct(*parts)).otherwise(F.col("quality")))
     return done.drop("_claims", "_sources")
 
 
