@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geo import DEGREE_M, cell, cells_near, distance_m
 from ..shared import written
 from .spatial import radius_join
 
@@ -72,9 +73,79 @@ def proximity_edges(points: DataFrame, radius_m: float) -> DataFrame:
     return radius_join(own, other, radius_m).where("id < r_id").select(F.col("id").alias("a"), F.col("r_id").alias("b"), "metres")
 
 
+#: Metres of room for rounding.
+ROUNDING_M = 0.01
+#: Each level of smaller cells is an eighth as wide.
+SPLIT = 8
+
+
+def _cells(rows: DataFrame, side_m: float) -> DataFrame:
+    """``rows`` (lat, lng) with ``_y`` and ``_x``: cells at most ``side_m`` high and wide; columns are as wide as their row's latitude lets them be."""
+    height = side_m / DEGREE_M
+    y = F.floor(F.col("lat") / height)
+    return rows.withColumn("_y", y).withColumn("_x", F.floor(F.pmod(F.col("lng") + 180, F.lit(360.0)) / _width(F.col("_y"), height)))
+
+
+def _width(y: Column, height: float) -> Column:
+    """Degrees of longitude of a row's cells."""
+    equator = F.when((y <= 0) & (y >= -1), 0.0).otherwise(F.least(F.abs(y), F.abs(y + 1)) * height)
+    return F.least(F.lit(360.0), height / F.greatest(F.cos(F.radians(F.least(equator, F.lit(90.0)))), F.lit(1e-9)))
+
+
+def cell_links(points: DataFrame, radius_m: float, key: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(hubs, links): a hub for each point, and pairs of hubs (a, b), with the clusters that all pairs within ``radius_m`` would give.
+
+    ``points``: id, lat, lng and maybe ``key``; only points of one key are linked.  Points of a cell, whose diagonal is shorter than the
+    radius, are linked to the smallest id in it.  Two cells need one pair of points in reach: first one point of each is tried, then the
+    points of one cell against the other cell's smaller and smaller ones, as far as the radius leaves open whether they reach; so no two
+    points are compared but in cells of about a hundredth of the radius.
+    """
+    side = radius_m / 2**0.5 * 0.999
+    named = points.withColumn("_k", F.col(key) if key else F.lit(0)).where("lat is not null and lng is not null")
+    spots = _cells(named.groupBy("_k", "lat", "lng").agg(F.min("id").alias("id")), side)
+    spots = written(spots, "spots")
+    cells = spots.groupBy("_k", "_y", "_x").agg(F.min(F.struct("id", "lat", "lng")).alias("r")).select("_k", "_y", "_x", F.col("r.id").alias("hub"), "r.lat", "r.lng")
+    cells = written(cells, "cells")
+    hubs = named.join(spots.select("_k", "lat", "lng", "_y", "_x"), ["_k", "lat", "lng"]).join(cells.select("_k", "_y", "_x", "hub"), ["_k", "_y", "_x"]).select(points["id"].alias("node"), "hub")
+
+    # neighbours meet in a coarse grid; each pair once, from the smaller hub
+    mine = cells.select("_k", "hub", "lat", "lng", "_y", "_x").withColumn("_cell", cell(F.col("lat"), F.col("lng"), 3 * radius_m))
+    theirs = cells.select(F.col("_k").alias("_k2"), F.col("hub").alias("other"), F.col("lat").alias("r_lat"), F.col("lng").alias("r_lng"), F.col("_y").alias("_y2"), F.col("_x").alias("_x2"), F.explode(cells_near(F.col("lat"), F.col("lng"), 3 * radius_m)).alias("_cell2"))
+    d = distance_m(F.col("lat"), F.col("lng"), F.col("r_lat"), F.col("r_lng"))
+    met = mine.join(theirs, (F.col("_k") == F.col("_k2")) & (F.col("_cell") == F.col("_cell2"))).where("hub < other").withColumn("_d", d)
+    # a cell's points lie at most its diagonal, less than the radius, from its hub
+    pairs = written(met.where(F.col("_d") <= 3 * radius_m).select("_k", "hub", "other", "_y", "_x", "_y2", "_x2", "_d"), "cell-pairs")
+    sure = pairs.where(F.col("_d") <= radius_m).select(F.col("hub").alias("a"), F.col("other").alias("b"))
+    unsure = pairs.where(F.col("_d") > radius_m)
+
+    inner = spots.select("_k", "_y", "_x", "id", "lat", "lng")
+    fine = [_cells(inner.select("_k", F.col("_y").alias("_y0"), F.col("_x").alias("_x0"), "lat", "lng"), side / SPLIT**i).withColumnsRenamed({"_y": f"_y{i}", "_x": f"_x{i}"}) for i in (1, 2)]
+    one = fine[0].groupBy("_k", "_y0", "_x0", "_y1", "_x1").agg(F.min(F.struct("lat", "lng")).alias("r"))
+    both = fine[0].join(fine[1], ["_k", "_y0", "_x0", "lat", "lng"])
+    two = both.groupBy("_k", "_y0", "_x0", "_y1", "_x1", "_y2", "_x2").agg(F.min(F.struct("lat", "lng")).alias("r"))
+    near = unsure.join(inner.select("_k", "_y", "_x", "lat", "lng"), ["_k", "_y", "_x"]).select("_k", "hub", "other", F.col("_y2").alias("_y0"), F.col("_x2").alias("_x0"), "lat", "lng")
+    links = sure
+    for level, (table, keys) in enumerate(((one, ["_k", "_y0", "_x0"]), (two, ["_k", "_y0", "_x0", "_y1", "_x1"]), (both, ["_k", "_y0", "_x0", "_y1", "_x1", "_y2", "_x2"]))):
+        told = table if level < 2 else table.withColumn("r", F.struct("lat", "lng")).drop("lat", "lng")
+        tried = near.join(told, keys).withColumn("_d", distance_m(F.col("lat"), F.col("lng"), F.col("r.lat"), F.col("r.lng")))
+        links = links.unionByName(tried.where(F.col("_d") <= radius_m).select(F.col("hub").alias("a"), F.col("other").alias("b")).distinct())
+        if level < 2:
+            across = 2 * side / SPLIT ** (level + 1) + ROUNDING_M
+            near = tried.where((F.col("_d") > radius_m) & (F.col("_d") - across <= radius_m)).drop("r", "_d")
+            near = written(near, "open-cells")
+    return hubs, links.distinct()
+
+
+def linked(points: DataFrame, radius_m: float, key: str | None = None) -> DataFrame:
+    """(node, root): every point with a position, and the smallest id of its cluster."""
+    hubs, links = cell_links(points, radius_m, key)
+    roots = components(links)
+    return hubs.join(roots.withColumnsRenamed({"node": "_hub"}), F.col("hub") == F.col("_hub"), "left").select("node", F.coalesce("root", "hub").alias("root"))
+
+
 def sites(points: DataFrame, link_m: float = 500.0) -> DataFrame:
-    """``points`` with ``site`` (least id of the cluster) and ``springs`` (its size)."""
-    roots = components(proximity_edges(points, link_m))
+    """``points`` with ``site`` (least id of the cluster) and ``springs`` (its size); a point without a position is alone."""
+    roots = linked(points, link_m)
     labelled = points.join(roots, points["id"] == roots["node"], "left").withColumn("site", F.coalesce("root", "id")).drop("node", "root")
     sizes = labelled.groupBy("site").agg(F.count("*").alias("springs"))
     return labelled.join(sizes, "site")
