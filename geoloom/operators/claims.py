@@ -25,11 +25,11 @@ def verify(claims: DataFrame, pages: DataFrame) -> DataFrame:
 
     ``claims``: id, field, value, source, state; ``pages``: one row a url (url,
     outcome, body), as fetched before.  A claim whose page is not there is
-    unreachable.  Only claims that need a page meet them.
+    unreachable, one without a field needs review.  Only claims that need a page meet them.
     """
     active = claims.where("state is null or state = '' or state = 'active'")
-    literal = F.col("field").isin(*NUMBER_FIELDS)
-    review = active.where(~literal).select("id", "field", F.lit(NEEDS_REVIEW).alias("verdict"), F.concat("field", F.lit(" is not a value that appears verbatim in a source; a reader must judge it")).alias("detail"))
+    literal = F.coalesce(F.col("field").isin(*NUMBER_FIELDS), F.lit(False))
+    review = active.where(~literal).select("id", "field", F.lit(NEEDS_REVIEW).alias("verdict"), F.concat(F.coalesce("field", F.lit("null")), F.lit(" is not a value that appears verbatim in a source; a reader must judge it")).alias("detail"))
     met = active.where(literal).join(pages, F.col("source") == F.col("url"), "left").withColumn("outcome", F.coalesce("outcome", F.lit("source-unreachable")))
     fetched, found = F.col("outcome") == "ok", value_appears(F.col("value").try_cast("double"), F.coalesce("body", F.lit("")))
     verdict = F.when(~fetched & F.col("outcome").isin(*PASSING), UNREACHABLE).when(fetched & found, VERIFIED).otherwise(REFUTED)

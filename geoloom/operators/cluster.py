@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import DEGREE_M, cell, cells_near, distance_m
 from ..shared import written
-from .spatial import radius_join
 
 MOST_ROUNDS = 60
 
@@ -66,13 +65,6 @@ def components(edges: DataFrame) -> DataFrame:
     raise RuntimeError("the clusters did not settle")
 
 
-def proximity_edges(points: DataFrame, radius_m: float) -> DataFrame:
-    """(a, b), a < b: pairs of ids within ``radius_m``."""
-    own = points.select("id", "lat", "lng")
-    other = points.select(F.col("id").alias("r_id"), F.col("lat").alias("r_lat"), F.col("lng").alias("r_lng"))
-    return radius_join(own, other, radius_m).where("id < r_id").select(F.col("id").alias("a"), F.col("r_id").alias("b"), "metres")
-
-
 #: Metres of room for rounding.
 ROUNDING_M = 0.01
 #: Each level of smaller cells is an eighth as wide.

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import distance_m
-from .cluster import components, proximity_edges
+from .cluster import cell_links, components
+from .spatial import radius_join
 
 #: Fixed values, metres: same name; one name inside the other; the same with a short name or no names.
 SAME_NAME_M, PART_NAME_M, SHORT_NAME_M, SHORT = 300.0, 60.0, 12.0, 4
@@ -46,10 +47,16 @@ def survivors(records: DataFrame) -> DataFrame:
 
     ``records``: id, ord, lat, lng, norm, kind, completeness.  In order of
     ``ord``, a record joins the first kept record that is the same spring; the
-    more complete one stays, the earlier at a tie.  No two records further apart
-    than 300 m are ever the same spring, so every proximity cluster folds alone.
+    more complete one stays, the earlier at a tie.  Records are the same spring
+    only within 300 m under one name, or within 60 m: clusters of both kinds,
+    joined where they share a record, fold alone.
     """
-    roots = components(proximity_edges(records, SAME_NAME_M))
+    named, by_name = cell_links(records.where("norm <> ''"), SAME_NAME_M, key="norm")
+    close, nearby = cell_links(records, PART_NAME_M)
+    edges = by_name.unionByName(nearby)
+    for hubs in (named, close):
+        edges = edges.unionByName(hubs.select(F.col("node").alias("a"), F.col("hub").alias("b")))
+    roots = components(edges)
     # a cluster's root is no node of the table
     labelled = records.join(roots, records["id"] == roots["node"], "left").withColumn("root", F.coalesce("root", "id"))
     grouped = labelled.select("id", "ord", "lat", "lng", "norm", "kind", "completeness", "root")
@@ -94,18 +101,21 @@ def survivors(records: DataFrame) -> DataFrame:
 
 
 def pairs_of_one_spring(records: DataFrame) -> DataFrame:
-    """(a, b, metres): all pairs that are the same spring, without the fold."""
-    own = records.select("id", "lat", "lng", "norm", "kind")
-    far = proximity_edges(records, SAME_NAME_M)
-    a, b = own.select(*[F.col(c).alias(f"a_{c}") for c in own.columns]), own.select(*[F.col(c).alias(f"b_{c}") for c in own.columns])
-    both = far.join(a, far["a"] == a["a_id"]).join(b, far["b"] == b["b_id"])
-    d = distance_m(F.col("a_lat"), F.col("a_lng"), F.col("b_lat"), F.col("b_lng"))
-    return both.where(same_spring(F.col("a_norm"), F.col("b_norm"), F.col("a_kind"), F.col("b_kind"), d)).select("a", "b", "metres")
+    """(a, b, metres): all pairs that are the same spring, without the fold.
+
+    Records further apart than 60 m meet only under one name.
+    """
+    own = records.select(F.col("id").alias("a"), "lat", "lng", "norm", "kind")
+    other = records.select(F.col("id").alias("b"), F.col("lat").alias("r_lat"), F.col("lng").alias("r_lng"), F.col("norm").alias("r_norm"), F.col("kind").alias("r_kind"))
+    once = F.col("a") < F.col("b")
+    same_name = (F.col("norm") == F.col("r_norm")) & (F.col("norm") != "")
+    d = distance_m(F.col("lat"), F.col("lng"), F.col("r_lat"), F.col("r_lng"))
+    alike = radius_join(own.where("norm <> ''"), other, SAME_NAME_M, also=(F.col("norm") == F.col("r_norm")) & once)
+    close = radius_join(own, other, PART_NAME_M, also=once).where(~same_name & same_spring(F.col("norm"), F.col("r_norm"), F.col("kind"), F.col("r_kind"), d))
+    return alike.unionByName(close).select("a", "b", "metres")
 
 
 def merged(pairs: DataFrame, columns: list[str], key: str = "survivor") -> DataFrame:
     """Fill-only survivorship: per ``key`` each column's first known value, the survivor's own before others'."""
     own = F.struct((F.col("id") != F.col(key)).cast("int"), "ord")
     return pairs.groupBy(key).agg(*[F.min_by(F.col(c), F.when(F.col(c).isNotNull(), own)).alias(c) for c in columns], F.count("*").alias("merged"))
-
-

@@ -14,16 +14,18 @@ from pyspark.sql import functions as F
 from ..functions.geo import DEGREE_M, cell, cells_near, crosses, distance_m, half_up, in_box
 
 
-def radius_join(left: DataFrame, right: DataFrame, radius_m: float, how: str = "inner") -> DataFrame:
-    """Pairs within ``radius_m``, with ``metres`` (whole).
+def radius_join(left: DataFrame, right: DataFrame, radius_m: float, also: Column | None = None) -> DataFrame:
+    """Pairs within ``radius_m``, with ``metres`` (whole), for which ``also`` holds too.
 
-    ``right`` has ``r_lat`` and ``r_lng``.  Rows without a position pair with none.
+    ``right`` has ``r_lat`` and ``r_lng``.  Rows without a position pair with none.  An equality in ``also`` is part of the join's key.
     """
     near = right.withColumn("_cell", F.explode(cells_near(F.col("r_lat"), F.col("r_lng"), radius_m)))
     keyed = left.withColumn("_cell", cell(F.col("lat"), F.col("lng"), radius_m))
     exact = distance_m(F.col("lat"), F.col("lng"), F.col("r_lat"), F.col("r_lng"))
-    joined = keyed.join(near, "_cell", "inner").withColumn("_d", exact).where(F.col("_d") <= radius_m)
-    return joined.withColumn("metres", half_up(F.col("_d")).cast("long")).drop("_cell", "_d")
+    near = near.withColumnRenamed("_cell", "_r_cell")
+    met = F.col("_cell") == F.col("_r_cell")
+    joined = keyed.join(near, met if also is None else met & also).withColumn("_d", exact).where(F.col("_d") <= radius_m)
+    return joined.withColumn("metres", half_up(F.col("_d")).cast("long")).drop("_cell", "_r_cell", "_d")
 
 
 def without_neighbour(left: DataFrame, right: DataFrame, radius_m: float) -> DataFrame:

@@ -142,3 +142,11 @@ def test_summary_document_and_refutations(spark):
 def test_route_ids_and_addresses(spark):
     for address, private in (("::1", True), ("fe80::1", True), ("fd12:3456::1", True), ("::ffff:10.0.0.1", True), ("2001:4860:4860::8888", False), ("::", True), ("0.1.2.3", True), ("224.0.0.1", True), ("300.1.1.1", True), ("1:2:3", True), ("1::2::3", True), ("8.8.8.8", False), ("ff02::1", False), ("nonsense", True)):
         assert spark.range(1).select(parse.private_address(F.lit(address)).alias("x")).first()["x"] is private, address
+
+
+def test_a_claim_without_a_field_needs_review(spark):
+    from geoloom.operators import claims
+
+    rows = spark.createDataFrame([("a", None, "1", "u", None), ("b", "temperature.celsius", "41", "u", "active")], "id string, field string, value string, source string, state string")
+    pages = spark.createDataFrame([("u", "ok", "it is 41 C")], "url string, outcome string, body string")
+    assert {(r["id"], r["verdict"]) for r in claims.verify(rows, pages).collect()} == {("a", "needs-semantic-review"), ("b", "verified")}
