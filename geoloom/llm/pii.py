@@ -43,7 +43,7 @@ _LINK = re.compile(r"[ .:#=-]{0,4}(?:(?:number|num|no|nr)\b[ .:#=-]{0,4})?", re.
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _SSN = re.compile(r"[0-9]{3}[ -][0-9]{2}[ -][0-9]{4}(?![0-9])")
 _ACCOUNT = re.compile(r"[0-9](?:[ -]?[0-9]){5,16}(?![0-9])")
-_USERINFO = re.compile(r"[A-Za-z0-9._~%!$&'()*+,;=:-]{1,256}@[A-Za-z0-9.-]+(?::[0-9]{1,5})?")
+_USERINFO = re.compile(r"[A-Za-z0-9._~%!$&'()*+,;=:-]++@[A-Za-z0-9.-]+(?::[0-9]{1,5})?")
 _TEL = re.compile(r"[0-9](?:[ ().-]{0,2}[0-9]){6,14}(?![0-9])")
 
 

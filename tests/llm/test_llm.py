@@ -208,6 +208,8 @@ def test_pii_added_spans():
     found = {s[0]: s for s in pii.find_spans("IBAN: GB82 WEST 1234 5698 7654 32 IS MINE, see https://bob:pw@host.example/x", pii.automaton())}
     assert "IBAN: GB82 WEST 1234 5698 7654 32 IS MINE"[found["account"][1] : found["account"][2]] == "GB82 WEST 1234 5698 7654 32"
     assert "address" in found and not pii.find_spans("accountable 123456 see https://host.example/x", pii.automaton())
+    long = "https://" + "u" * 5000 + ":pw@host.example/x"
+    assert [long[s[1] : s[2]] for s in pii.find_spans(long, pii.automaton()) if s[0] == "address"] == [long.removesuffix("/x")]
     assert pii.redacted("mail a@b.co!", pii.find_spans("mail a@b.co!", pii.automaton())) == "mail [EMAIL]!"
 
 
