@@ -24,7 +24,7 @@ from ..shared import written
 MAP_TEMPERATURE = "OpenStreetMap `temperature` tag"
 CATALOGUE_SOURCE = "NOAA NCEI, Thermal Springs List for the United States (1981), doi:10.25921/c8p0-zs06"
 CATALOGUE_PAGE = "https://doi.org/10.25921/c8p0-zs06"
-CATALOGUE_WARNING = "Listed in a 1981 national survey; conditions may have changed since."
+CATALOGUE_WARNING = "Recorded in a 1981 federal compilation and not been checked on the ground since. The temperature, and the existence of this spring, are historical."
 #: Metres within which a pin is bound by its name, and the least letters of such a name.
 BIND_M, LEAST_NAME = 1500, 3
 MANIFEST = "CURRENT"
