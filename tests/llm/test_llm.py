@@ -564,6 +564,28 @@ def test_pipeline_near_copies(spark, monkeypatch, run):
     assert expected < set(prints)  # two bits alone miss some
 
 
+def test_near_copies_of_one_template(spark, monkeypatch):
+    """Pages of one template, most of them just not near each other: all links, by far fewer pairs than there are."""
+    import corpus_pipeline
+    from geoloom.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "RUN", 8)
+    compared = []
+    verified = near_copies.verified
+    monkeypatch.setattr(near_copies, "verified", lambda docs, rows, pairs: (compared.append(pairs.distinct().count()), verified(docs, rows, pairs))[1])
+    rng = random.Random(1)
+    texts = []
+    for k in range(400):
+        words = [f"w{i}" for i in range(64)]
+        for at in rng.sample(range(64), 2):
+            words[at] = f"x{k}-{at}"
+        texts.append(" ".join(words))
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    expected = {i for i, r in enumerate(five_word_closure(texts)) if i == r}
+    assert {r["doc_id"] for r in corpus_pipeline.keep_one_copy(spark, docs, SMALL).collect()} == expected
+    assert sum(compared) < 400 * 399 / 2 / 3
+
+
 def test_pipeline_rows_of_one_id(spark):
     """One id on different texts, and near copies without ids: one row a group stays."""
     import corpus_pipeline
