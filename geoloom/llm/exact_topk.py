@@ -21,10 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved
-from .vectors import answer, best, blocks, meet, top, usable
+from .vectors import ANSWER_DDL, answer, best, blocks, meet, top, usable
 
 BUCKET = 8192
 QUERY_BLOCK = 1024
+#: Up to so many vector lengths their first buckets are broadcast, beyond they are shuffled.
+FEW_LENGTHS = 16
 #: From this cosine on, coordinates prune better than lengths.
 COORDINATE_FROM = 0.5
 COORDINATES = 3
@@ -77,9 +79,12 @@ def search(queries: DataFrame, base: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score (long) of each query's ``k`` highest products.
 
     Both tables: vec_id, v (array of integers).  Rows with the query's id are
-    its own and no candidates; a repeated query row is answered once, repeated
-    other rows are candidates each; vectors of another length take no part.
-    Products are exact while their sums stay below 2^53.
+    its own and no candidates; a repeated query row is answered once, an id with
+    several vectors once for each of them; repeated other rows are candidates
+    each, rows without an id too (first among ties; the least 64-bit number
+    counts as no id); vectors of another length take no part.  An empty table
+    gives no rows; other columns are not read.  Products are exact while their
+    sums stay below 2^53.
     """
     spark = base.sparkSession
     n = base.count()
@@ -106,10 +111,12 @@ def search(queries: DataFrame, base: DataFrame, k: int = 5) -> DataFrame:
                         bounds[i] = np.partition(scores, len(scores) - k)[len(scores) - k]
                 yield pa.record_batch([pa.array([row[c]], t) for c, t in (("q_block", pa.int64()), ("dim", pa.int32()), ("q_ids", pa.binary()), ("q_vectors", pa.binary()))] + [pa.array([bounds.tobytes()], pa.binary())], names=["q_block", "dim", "q_ids", "q_vectors", "bounds"])
 
-    # one bucket of at most BUCKET rows per vector length: small enough to broadcast
+    # one bucket of at most BUCKET rows per vector length: a few lengths are small enough to broadcast
     firsts = buckets.groupBy("dim").agg(F.max_by("block", F.struct("longest", -F.col("block"))).alias("block"))
     first = buckets.join(firsts, ["dim", "block"]).select("dim", "ids", "vectors")
-    seeded = saved(asked.join(F.broadcast(first), "dim").select("q_block", "dim", "q_ids", "q_vectors", "ids", "vectors").mapInArrow(seed, "q_block long, dim int, q_ids binary, q_vectors binary, bounds binary"), "seeded")
+    if firsts.count() <= FEW_LENGTHS:
+        first = F.broadcast(first)
+    seeded = saved(asked.join(first, "dim").select("q_block", "dim", "q_ids", "q_vectors", "ids", "vectors").mapInArrow(seed, "q_block long, dim int, q_ids binary, q_vectors binary, bounds binary"), "seeded")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,14 +136,14 @@ def search(queries: DataFrame, base: DataFrame, k: int = 5) -> DataFrame:
                     scores = vectors[kept] @ q[i]
                     near = top(scores, ids[kept], k)
                     near = near[scores[near] >= bounds[i]]
-                    out.append((np.full(len(near), q_ids[i]), ids[kept][near], scores[near]))
+                    out.append((row["q_block"] * QUERY_BLOCK + i, q_ids[i], ids[kept][near], scores[near]))
                 yield answer(out, "i8")
 
     lanes = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pairs = meet(seeded, buckets, lanes).select("dim", "ids", "vectors", "q_ids", "q_vectors", "bounds")
-    return best(pairs.mapInArrow(verify, "query_id long, vec_id long, score long"), k)
+    pairs = meet(seeded, buckets, lanes).select("dim", "ids", "vectors", "q_block", "q_ids", "q_vectors", "bounds")
+    return best(pairs.mapInArrow(verify, ANSWER_DDL + "long"), k)
 
 
 def integer_vectors(table: DataFrame, scale: int = 256) -> DataFrame:
     """(vec_id, v): floor(scale * x) of every component, of the rows that take part."""
-    return usable(table.where(F.col("vec_id").isNotNull())).withColumn("v", F.transform("v", lambda x: F.floor(x.cast("double") * scale)))
+    return usable(table).withColumn("v", F.transform("v", lambda x: F.floor(x.cast("double") * scale)))

@@ -25,6 +25,11 @@ WEIGHTS = (5, 2, 1)
 #: each weight in turn; straight lines between.
 SCHEDULES = ((1.0, 1.0, 1.0), (0.5, 1.0, 1.5), (1.5, 1.0, 0.5))
 MOST_REPEATS = 3
+#: Columns that ``mix`` and what follows it add.
+ADDED = (
+    "mix_size", "mix_source_size", "mix_target", "mix_positions", "mix_taken", "mix_key", "mix_slice", "mix_middle", "mix_s_source", "mix_s_slice", "mix_t_source", "mix_before", "mix_rank",
+    "mix_row", "mix_position", "mix_at", "mix_bytes", "mix_part", "mix_in", "mix_inside", "mix_first", "mix_first_rank", "mix_last_rank",
+)
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, repeats: int = MOST_REPEATS) -> DataFrame:
@@ -100,31 +105,32 @@ def mix(docs: DataFrame, compress: bool = False) -> DataFrame:
     times its size.  A source is read over and over in the order of
     md5(doc_id); a copy is taken if its middle is within the target.  Null text
     and empty text have size 0 and are never taken; repeated rows are taken
-    each for itself; an empty table gives no rows.  With ``compress`` the texts
+    each for itself; an empty table gives no rows.  Other columns pass through,
+    but those named as the added ones are replaced.  With ``compress`` the texts
     come as zstandard frames.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     # three hexadecimal digits: 4,096 slices
-    sized = docs.withColumns({"mix_size": size, "mix_key": key}).withColumn("mix_slice", F.substring("mix_key", 1, 3))
-    slices = sized.groupBy(F.col("source").alias("s_source"), F.col("mix_slice").alias("s_slice")).agg(F.sum("mix_size").alias("size"))
-    targets = source_targets(slices.select(F.col("s_source").alias("source"), "size")).select(
-        F.col("source").alias("t_source"), F.col("source_size").alias("mix_source_size"), "rank", F.col("target").alias("mix_target")
+    sized = docs.drop(*ADDED).withColumns({"mix_size": size, "mix_key": key}).withColumn("mix_slice", F.substring("mix_key", 1, 3))
+    slices = sized.groupBy(F.col("source").alias("mix_s_source"), F.col("mix_slice").alias("mix_s_slice")).agg(F.sum("mix_size").alias("size"))
+    targets = source_targets(slices.select(F.col("mix_s_source").alias("source"), "size")).select(
+        F.col("source").alias("mix_t_source"), F.col("source_size").alias("mix_source_size"), F.col("rank").alias("mix_rank"), F.col("target").alias("mix_target")
     )
-    before = F.sum("size").over(W.partitionBy("s_source").orderBy("s_slice")) - F.col("size")
-    slices = slices.withColumn("slice_before", before).drop("size")
-    slices = slices.join(targets, F.col("s_source").eqNullSafe(F.col("t_source"))).drop("t_source")
+    before = F.sum("size").over(W.partitionBy("mix_s_source").orderBy("mix_s_slice")) - F.col("size")
+    slices = slices.withColumn("mix_before", before).drop("size")
+    slices = slices.join(targets, F.col("mix_s_source").eqNullSafe(F.col("mix_t_source"))).drop("mix_t_source")
     if compress:
         sized = compressed(sized)
-    sized = sized.join(slices, F.col("source").eqNullSafe(F.col("s_source")) & (F.col("mix_slice") == F.col("s_slice")))
-    inside = W.partitionBy("s_source", "s_slice").orderBy("mix_key", F.col("doc_id").asc_nulls_first(), "mix_size").rowsBetween(W.unboundedPreceding, 0)
-    middle = F.col("slice_before") + F.sum("mix_size").over(inside) - F.col("mix_size") / 2
+    sized = sized.join(slices, F.col("source").eqNullSafe(F.col("mix_s_source")) & (F.col("mix_slice") == F.col("mix_s_slice")))
+    inside = W.partitionBy("mix_s_source", "mix_s_slice").orderBy("mix_key", F.col("doc_id").asc_nulls_first(), "mix_size").rowsBetween(W.unboundedPreceding, 0)
+    middle = F.col("mix_before") + F.sum("mix_size").over(inside) - F.col("mix_size") / 2
     sized = sized.withColumn("mix_middle", middle)
     reads = F.array(*[F.lit(float(e)) for e in range(MOST_REPEATS)])
     middles = F.filter(F.transform(reads, lambda e: e * F.col("mix_source_size") + F.col("mix_middle")), lambda m: (m <= F.col("mix_target")) & (F.col("mix_size") > 0))
-    positions = F.transform(middles, lambda m: demand_time(m / F.col("mix_target"), F.col("rank") % len(SCHEDULES)))
+    positions = F.transform(middles, lambda m: demand_time(m / F.col("mix_target"), F.col("mix_rank") % len(SCHEDULES)))
     return sized.withColumn("mix_positions", positions).withColumn("mix_taken", F.size("mix_positions") * F.col("mix_size")).drop(
-        "mix_key", "mix_slice", "mix_middle", "s_source", "s_slice", "slice_before", "rank"
+        "mix_key", "mix_slice", "mix_middle", "mix_s_source", "mix_s_slice", "mix_before", "mix_rank"
     )
 
 
@@ -146,15 +152,15 @@ def with_ranks(mixed: DataFrame) -> DataFrame:
     rows = mixed.withColumn("mix_row", F.monotonically_increasing_id()).withColumn("mix_position", F.explode_outer("mix_positions"))
     anywhere = F.pmod(F.xxhash64("mix_row"), F.lit(1 << 20)) / (1 << 20)
     order = rows.withColumn("mix_at", F.coalesce("mix_position", anywhere)).repartitionByRange(F.col("mix_at"), F.col("doc_id")).sortWithinPartitions("mix_at", "doc_id", "mix_size")
-    order = order.withColumn("bytes", F.octet_length("text")).drop("text", "mix_positions", "mix_at")
-    order = saved(order.withColumns({"mix_part": F.spark_partition_id(), "mix_in": F.monotonically_increasing_id()}), "order").drop("bytes")
+    order = order.withColumn("mix_bytes", F.octet_length("text")).drop("text", "mix_positions", "mix_at")
+    order = saved(order.withColumns({"mix_part": F.spark_partition_id(), "mix_in": F.monotonically_increasing_id()}), "order").drop("mix_bytes")
     taken = F.col("mix_position").isNotNull()
-    sizes = order.where(taken).groupBy("mix_part").agg(F.count("*").alias("n"))
+    sizes = order.where(taken).groupBy("mix_part").agg(F.count("*").alias("mix_n"))
     # one row a partition, so this window is small
-    before = sizes.select("mix_part", (F.sum("n").over(W.orderBy("mix_part")) - F.col("n")).alias("before"))
+    before = sizes.select("mix_part", (F.sum("mix_n").over(W.orderBy("mix_part")) - F.col("mix_n")).alias("mix_before"))
     inside = F.sum(taken.cast("long")).over(W.partitionBy("mix_part").orderBy("mix_in"))
-    ranked = order.withColumn("inside", inside).join(F.broadcast(before), "mix_part", "left")
-    rank = F.when(taken, F.col("before") + F.col("inside") - 1)
+    ranked = order.withColumn("mix_inside", inside).join(F.broadcast(before), "mix_part", "left")
+    rank = F.when(taken, F.col("mix_before") + F.col("mix_inside") - 1)
     kept = [c for c in mixed.columns if c not in ("text", "mix_positions")]
     return ranked.groupBy("mix_row").agg(
         *[F.first(c).alias(c) for c in kept], F.min("mix_position").alias("mix_first"), F.min(rank).alias("mix_first_rank"), F.max(rank).alias("mix_last_rank")

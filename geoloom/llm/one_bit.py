@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved
-from .vectors import answer, best, blocks, matrix, meet, top, usable
+from .vectors import ANSWER_DDL, answer, best, blocks, matrix, meet, top, usable
 
 BLOCK = 8192
 QUERY_BLOCK = 1024
@@ -107,8 +107,11 @@ def search(queries: DataFrame, base: DataFrame, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score of each query's ``k`` nearest found.
 
     Both tables: vec_id, v.  Rows with the query's id are its own and no
-    candidates; a repeated query row is answered once, repeated other rows are
-    candidates each; vectors of another length take no part.
+    candidates; a repeated query row is answered once, an id with several vectors
+    once for each of them; repeated other rows are candidates each, rows without
+    an id too (first among ties; the least 64-bit number counts as no id);
+    vectors of another length take no part.  An empty table gives no rows;
+    other columns are not read.
     """
     spark = base.sparkSession
     n = base.count()
@@ -118,6 +121,8 @@ def search(queries: DataFrame, base: DataFrame, k: int = 20) -> DataFrame:
     codes = saved(index(base.coalesce(max(1, -(-n // BLOCK))), means), "codes")
     asked = queries.dropDuplicates(["vec_id", "v"]).coalesce(max(1, -(-n // (QUERY_BLOCK * 32))))
     asked = blocks(asked, QUERY_BLOCK, "q_block long, dim int, q_ids binary, q_vectors binary", lambda ids, v: (v.shape[1], ids.tobytes(), _pack(v)))
+    # written, so that a block has one number in every attempt of a task
+    asked = saved(asked, "queries")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,14 +144,14 @@ def search(queries: DataFrame, base: DataFrame, k: int = 20) -> DataFrame:
                         # summed row by row: equal vectors have equal scores
                         scores = (vectors[near] * q[at + i]).sum(1)
                         found = top(scores, ids[near], k)
-                        out.append((np.full(len(found), q_ids[at + i]), ids[near][found], scores[found]))
+                        out.append((row["q_block"] * QUERY_BLOCK + at + i, q_ids[at + i], ids[near][found], scores[found]))
                 yield answer(out, "f8")
 
     lanes = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pairs = meet(asked, codes, lanes).select("dim", "ids", "codes", "scalars", "vectors", "q_ids", "q_vectors")
-    return best(pairs.mapInArrow(run, "query_id long, vec_id long, score double"), k)
+    pairs = meet(asked, codes, lanes).select("dim", "ids", "codes", "scalars", "vectors", "q_block", "q_ids", "q_vectors")
+    return best(pairs.mapInArrow(run, ANSWER_DDL + "double"), k)
 
 
 def searchable(table: DataFrame) -> DataFrame:
-    """(vec_id, v) of the rows that take part: ids and vectors set, finite, not zero."""
-    return usable(table.where(F.col("vec_id").isNotNull()), nonzero=True)
+    """(vec_id, v) of the rows that take part: vectors set, finite, not zero."""
+    return usable(table, nonzero=True)

@@ -10,6 +10,9 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Stands for a null id inside blocks, so null ids come first among ties.
+NO_ID = -(2**63)
+
 
 def usable(table: DataFrame, nonzero: bool = False) -> DataFrame:
     """(vec_id, v): rows whose vector is set, not empty and all finite numbers."""
@@ -55,7 +58,7 @@ def blocks(rows: DataFrame, size: int, fields: str, make) -> DataFrame:
             lengths = batch.column(1).value_lengths().to_numpy()
             for dim in np.unique(lengths).tolist():
                 part = batch.filter(pa.array(lengths == dim))
-                held.setdefault(dim, []).append((part.column(0).fill_null(-(2**63)).to_numpy(), matrix(part.column(1))))
+                held.setdefault(dim, []).append((part.column(0).fill_null(NO_ID).to_numpy(), matrix(part.column(1))))
                 if sum(len(i) for i, _ in held[dim]) >= size:
                     yield from emit(dim, size)
         for dim in held:
@@ -76,17 +79,27 @@ def meet(queries: DataFrame, base: DataFrame, lanes: int) -> DataFrame:
 
 
 def best(found: DataFrame, k: int) -> DataFrame:
-    """The ``k`` best (query_id, vec_id, score) of each query, with rank; ties to the smaller vec_id."""
+    """The ``k`` best (query, query_id, vec_id, score) of each query, with rank; ties to the smaller vec_id, null first.
+
+    ``query`` is the query row's number: ids may stand on several vectors.
+    """
     from pyspark.sql import Window as W
 
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_first()))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
-def answer(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]], kind) -> pa.RecordBatch:
-    """(query ids, vec ids, scores) triples as one batch."""
-    columns = [np.concatenate(x) if rows else np.zeros(0) for x in (zip(*rows, strict=True) if rows else ((), (), ()))]
-    return pa.record_batch([pa.array(c.astype(t)) for c, t in zip(columns, ("i8", "i8", kind), strict=True)], names=["query_id", "vec_id", "score"])
+def answer(rows: list[tuple[int, int, np.ndarray, np.ndarray]], kind) -> pa.RecordBatch:
+    """(query number, query id, vec ids, scores) of each query as one batch."""
+    counts = [len(ids) for _, _, ids, _ in rows]
+    queries, query_ids = (np.repeat(np.array([r[i] for r in rows], "i8"), counts) for i in (0, 1))
+    ids, scores = (np.concatenate([r[i] for r in rows]) if rows else np.zeros(0) for i in (2, 3))
+    named = lambda x: pa.array(x.astype("i8"), mask=x == NO_ID)
+    return pa.record_batch([pa.array(queries), named(query_ids), named(ids), pa.array(scores.astype(kind))], names=["query", "query_id", "vec_id", "score"])
+
+
+#: What ``answer`` returns, before the type of the score.
+ANSWER_DDL = "query long, query_id long, vec_id long, score "
 
 
 def top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:

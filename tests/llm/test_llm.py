@@ -170,6 +170,11 @@ def test_mix(spark, documents, odd, empty):
         taken[r["source"]] += r["mix_taken"]
     assert all(abs(taken[s] - targets[s]) <= most for s in sizes)
     assert mixing.mix(odd).count() == odd.count()
+    clashing = ["rank", "slice_before", "s_source", "s_slice", "t_source", "size", "bytes", "before", "inside", "n", "mix_rank", "mix_source_size"]
+    named = odd.withColumns({c: F.lit("own") for c in clashing})
+    ranked = mixing.with_ranks(mixing.mix(named)).collect()
+    assert len(ranked) == odd.count() and all(r[c] == "own" for r in ranked for c in clashing[:-2])
+    assert sorted((r["mix_size"], r["mix_taken"]) for r in ranked) == sorted((r["mix_size"], r["mix_taken"]) for r in mixing.mix(odd).collect())
     assert mixing.mix(empty).count() == 0
     order = [r["mix_position"] for r in mixing.training_order(mixing.mix(documents)).select("mix_position").collect()]
     assert order == sorted(order) and 0 <= order[0] and order[-1] <= 1
@@ -295,17 +300,18 @@ def vectors(spark, n, dim, seed, spread):
     data = rng.standard_normal((n, dim)) * np.exp(rng.standard_normal((n, 1)) * spread)
     data[::7] = data[0] + rng.standard_normal((len(data[::7]), dim)) * 0.1
     table = [(i, [float(x) for x in v]) for i, v in enumerate(data)]
-    odd = [(n, None), (n + 1, []), (n + 2, [1.0, float("nan")] * (dim // 2)), (n + 3, [0.0] * dim), (n + 4, [None] * dim), (n + 5, [float("inf")] * dim), (n + 6, [1.0, 2.0]), (None, [1.0] * dim), (4, table[4][1])]
+    odd = [(n, None), (n + 1, []), (n + 2, [1.0, float("nan")] * (dim // 2)), (n + 3, [0.0] * dim), (n + 4, [None] * dim), (n + 5, [float("inf")] * dim), (n + 6, [1.0, 2.0]), (None, [1.0] * dim), (None, [1.0] * dim), (4, table[4][1]), (100, table[0][1]), (100, table[33][1])]
     return spark.createDataFrame(table + odd, "vec_id long, embedding array<float>")
 
 
 def brute(table, keep, modulus, k):
     usable = [(r["vec_id"], keep(r["v"])) for r in table.collect()]
-    out = set()
-    for q, v in {(q, tuple(v)) for q, v in usable if q % modulus == 0}:
-        scored = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in usable if i != q and len(w) == len(v))[:k]
-        out |= {(q, rank + 1, i, -s) for rank, (s, i) in enumerate(scored)}
-    return out
+    out = []
+    for q, v in {(q, tuple(v)) for q, v in usable if q is not None and q % modulus == 0}:
+        scored = [(-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in usable if i != q and len(w) == len(v)]
+        scored.sort(key=lambda x: (x[0], x[1] is not None, x[1] or 0))
+        out += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(scored[:k])]
+    return sorted(out, key=repr)
 
 
 @pytest.mark.parametrize("spread", [0.0, 1.0])
@@ -313,7 +319,8 @@ def test_exact_topk(spark, monkeypatch, spread):
     monkeypatch.setattr(exact_topk, "BUCKET", 64)
     table = exact_topk.integer_vectors(vectors(spark, 400, 16, 1, spread))
     got = exact_topk.search(table.where("vec_id % 50 = 0"), table, 5)
-    assert {tuple(r) for r in got.collect()} == brute(table, list, 50, 5)
+    expected = brute(table, list, 50, 5)
+    assert rows(got) == expected and sum(q == 100 for q, *_ in expected) == 15
 
 
 def test_one_bit_recall(spark, monkeypatch):
@@ -323,7 +330,8 @@ def test_one_bit_recall(spark, monkeypatch):
     exact = brute(table, list, 20, 20)
     pairs = {(q, i) for q, _, i, _ in exact}
     assert len(pairs & {(r["query_id"], r["vec_id"]) for r in got}) >= 0.95 * len(pairs)
-    scores = {(q, i): s for q, _, i, s in exact}
+    assert sum(r["query_id"] == 100 for r in got) == 60 and max(Counter((r["query_id"], r["rank"]) for r in got if r["query_id"] != 100).values()) == 1
+    scores = {(q, i): s for q, _, i, s in exact if q != 100}
     assert all(r["score"] == pytest.approx(scores.get((r["query_id"], r["vec_id"]), r["score"]), abs=1e-12) for r in got)
 
 
@@ -336,7 +344,7 @@ def test_searches_of_wide_components(spark):
     got = exact_topk.search(found.where("vec_id = 0"), found, 4).orderBy("rank").collect()
     assert [r["vec_id"] for r in got] == [1, 3, 4, 2]
     found = exact_topk.integer_vectors(with_short)
-    assert {tuple(r) for r in exact_topk.search(found.where("vec_id = 0"), found, 5).collect()} == brute(found, list, 50, 5)
+    assert sorted(map(tuple, exact_topk.search(found.where("vec_id = 0"), found, 5).collect()), key=repr) == brute(found, list, 50, 5)
     found = one_bit.searchable(table)
     got = one_bit.search(found.where("vec_id = 0"), found, 4).orderBy("rank").collect()
     assert [(r["vec_id"], r["score"]) for r in got] == [(1, 1e14 + 2), (3, 5e6 + 0.5), (4, 1e6 + 0.7), (2, -1e14)]
@@ -402,6 +410,60 @@ def test_quality_odd(spark, odd, empty):
         assert got.count() == frame.count() and got.where("predicted = 0").count() == 0
 
 
+def plain_statistics(text):
+    words = [w for w in re.split(rb"[\t\n\x0b\x0c\r ]+", text) if w]
+    n, size = len(words), max(len(text), 1)
+    number = lambda pattern: len(re.findall(pattern, text))
+    per_word = lambda x: x / n if n else 0.0
+    root = lambda x: math.sqrt(min(x, 4.0))
+    upper, letters = number(rb"[A-Z]"), number(rb"[A-Za-z]")
+    again = sum(words[i] == words[i - 1] for i in range(1, n))
+    return [
+        math.log(1 + n), root(upper / letters if letters else 0.0), root(per_word(number(rb"!"))), root(per_word(number(rb"\|"))),
+        root(per_word(number(rb"[#$%&*^~=<>{}\[\]\\_`]"))), root(per_word(again)), per_word(len(set(words))), math.log(1 + per_word(size)),
+        root(per_word(number(rb"[.,]"))), root(per_word(number(rb"[0-9]"))), root(per_word(number(rb"\n"))), root(letters / size),
+    ]
+
+
+@pytest.mark.parametrize("with_odd", [False, True])
+def test_op8_against_plain_densities(spark, odd, with_odd):
+    """Scores equal those of densities computed without Spark, from whole covariance matrices and their inverses."""
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    labels = spark.read.parquet(f"{SMALL}/labels.parquet")
+    frame = docs.select("doc_id", "text")
+    if with_odd:
+        long = spark.createDataFrame([(10**6, "x" * 2_000_000), (10**6 + 1, "long words " * 200_000)], "doc_id long, text string")
+        frame = frame.unionByName(odd.select((F.col("doc_id") + 10**7).alias("doc_id"), "text")).unionByName(long)
+    held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 4 == 2
+    marks = {}
+    for r in labels.collect():
+        if r["quality"] in (0, 1):
+            marks[r["doc_id"]] = min(r["quality"], marks.get(r["doc_id"], 1))
+    texts = [(r["doc_id"], plain_statistics((r["text"] or "").encode())) for r in frame.collect()]
+    parts = []
+    for c in (0, 1):
+        x = np.array([s for d, s in texts if marks.get(d) == c and not held(d)])
+        cov = np.cov(x.T, bias=True)
+        floor = np.maximum(np.diag(cov), quality.LEAST_SD**2)
+        cov = (1 - quality.SHRINKAGE) * cov + np.diag(quality.SHRINKAGE * floor + 0.25 * quality.LEAST_SD**2)
+        parts.append((len(x), x.mean(0), np.linalg.inv(cov), np.linalg.slogdet(cov)[1]))
+    expected = []
+    for d, s in texts:
+        logs = [math.log(n) - 0.5 * ((s - m) @ inverse @ (s - m) + det) for n, m, inverse, det in parts]
+        expected.append((repr(d), 1 / (1 + math.exp(min(max(logs[0] - logs[1], -700), 700)))))
+    stats = quality.with_statistics(frame, ["doc_id"])
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 4 == 2
+    model = quality.fit(quality.training_rows(stats, labels, ~held_out))
+    got = quality.with_scores(stats, model).collect()
+    assert [x[0] for x in sorted(expected)] == [x[0] for x in sorted((repr(r["doc_id"]), r["score"]) for r in got)]
+    for (_, a), (_, b) in zip(sorted(expected), sorted((repr(r["doc_id"]), r["score"]) for r in got), strict=True):
+        assert math.isclose(a, b, rel_tol=1e-5, abs_tol=1e-9)
+    assert all(r["predicted"] == (r["score"] >= 0.7) for r in got)
+    if not with_odd:
+        op8 = {r["doc_id"]: (r["held_out"], r["score"]) for r in queries.op8_quality(spark, SMALL).collect()}
+        assert all(op8[int(d)][0] == held(int(d)) and math.isclose(op8[int(d)][1], s, rel_tol=1e-5, abs_tol=1e-9) for d, s in expected)
+
+
 def test_quality_in_one_pass(spark, odd):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     stats = quality.with_statistics(docs, ["doc_id"])
