@@ -15,6 +15,14 @@ ONES = (
 TENS = ("twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety")
 
 
+def shortest(number: Column) -> Column:
+    """A number as the shortest text that reads back as it: 44 and not 44.0, 0.0005 and not 5.0E-4, 1e-7 only below a millionth."""
+    text = number.cast("string")
+    plain = F.regexp_replace(number.cast("decimal(38,20)").cast("string"), r"\.?0+$", "")
+    small = F.regexp_replace(F.lower(text), r"\.0e", "e")
+    return F.when(~F.contains(text, F.lit("E")), F.regexp_replace(text, r"\.0$", "")).when(F.abs(number) < 1e-6, small).otherwise(plain)
+
+
 def number_words(n: Column) -> Column:
     """Whole numbers from 1 to 99 in words; null for others."""
     ones, tens = (F.array(*[F.lit(w) for w in words]) for words in (ONES, TENS))

@@ -87,6 +87,23 @@ def sound_url(url: Column) -> Column:
     return F.coalesce(plain & F.contains(host, F.lit(".")) & ~reserved & ~address, F.lit(False))
 
 
+#: Pages beside the map, and the form of a durable id.
+PAGES = ("about", "terms", "privacy", "safety")
+ID_PATTERN = r"^whs_[0-9a-f]{12}\z"
+
+
+def route(path: Column, base: str = "") -> Column:
+    """struct<kind, id, page> of an address path below ``base``: a spring, a page, or the map for all else."""
+    base = base.rstrip("/")
+    inner = F.when(path.startswith(base), F.substr(path, F.lit(len(base) + 1))).otherwise(path) if base else path
+    parts = F.filter(F.split(inner, "/"), lambda x: x != "")
+    first, second, n = F.get(parts, F.lit(0)), F.get(parts, F.lit(1)), F.size(parts)
+    ident = F.when((n == 2) & (first == "s") & second.rlike(ID_PATTERN), second)
+    page = F.when((n == 1) & first.isin(*PAGES), first)
+    kind = F.when(ident.isNotNull(), "spring").when(page.isNotNull(), "page").otherwise("map")
+    return F.struct(kind.alias("kind"), ident.alias("id"), page.alias("page"))
+
+
 def private_ipv4(address: Column) -> Column:
     """Loopback, private, link-local, shared or unspecified IPv4."""
     part = F.transform(F.split(address, r"\."), lambda x: x.try_cast("int"))

@@ -24,6 +24,34 @@ def nfkc(names: pd.Series) -> pd.Series:
     return names.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
+@F.pandas_udf(T.StructType().add("text", "string").add("at", "integer").add("matched", "string").add("score", "integer"))
+def densest_window(texts: pd.Series, words: pd.Series, most: pd.Series) -> pd.DataFrame:
+    """The window of ``most`` characters with the most places of the words, as ``claims.field_excerpt`` says."""
+    from bisect import bisect_left
+
+    def places(low: str, word: str):
+        at = low.find(word)
+        while at >= 0:
+            yield at
+            at = low.find(word, at + 1)
+
+    def window(text: str, own, size: int) -> tuple:
+        low = text.lower()
+        if len(text) <= size:
+            return text, 0, next((w for w in own if w in low), None), 0
+        hits = [(at, w) for w in own for at in places(low, w)]
+        spots = sorted(at for at, _ in hits)
+        best = (0, None, 0)
+        for at, word in hits:
+            start = max(0, min(at - size // 2, len(text) - size))
+            held = bisect_left(spots, start + size) - bisect_left(spots, start)
+            if best[1] is None or held > best[2]:
+                best = (start, word, held)
+        return text[best[0] : best[0] + size], *best
+
+    return pd.DataFrame([window(*row) for row in zip(texts, words, most, strict=True)], columns=["text", "at", "matched", "score"])
+
+
 def norm_name(name: Column, ascii_only: bool = False) -> Column:
     """Lower case, letters and digits of any script only; null becomes ''.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.display import shortest
 from ..functions.text import nfkc
 from .spatial import box_join
 
@@ -49,14 +50,6 @@ def suspected_borehole(tags: Column) -> Column:
     return F.when(suspect, F.concat(F.lit('identifier-style name ("'), tags["name"], F.lit('") with no other spring attributes')))
 
 
-def shortest(number: Column) -> Column:
-    """A coordinate as the shortest text that reads back as it: 44 and not 44.0, 0.0005 and not 5.0E-4, 1e-7 only below a millionth."""
-    text = number.cast("string")
-    plain = F.regexp_replace(number.cast("decimal(38,20)").cast("string"), r"\.?0+$", "")
-    small = F.regexp_replace(F.lower(text), r"\.0e", "e")
-    return F.when(~F.contains(text, F.lit("E")), F.regexp_replace(text, r"\.0$", "")).when(F.abs(number) < 1e-6, small).otherwise(plain)
-
-
 def decimals(number: Column) -> Column:
     return F.length(F.regexp_extract(shortest(number), r"\.([0-9]+)$", 1))
 

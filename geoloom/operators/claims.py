@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import value_appears
+from ..functions.text import densest_window, value_appears
 
 #: Claimable fields whose value must stand in the source as a number.
 NUMBER_FIELDS = (
@@ -18,6 +18,26 @@ REFUTED, UNREACHABLE, NEEDS_REVIEW, VERIFIED = "refuted", "unreachable", "needs-
 DISPUTED = "disputed"
 #: Characters of a note and of an excerpt.
 NOTE_CHARS, EXCERPT_CHARS = 280, 6000
+#: Words that mark the part of a page that decides a field.
+FIELD_WORDS = {
+    "clothing.policy": ("swimwear", "swimsuit", "bathing suit", "attire", "dress code", "clothing", "nude", "topless"),
+    "clothing.schedule": ("swimwear", "swimsuit", "clothing-optional", "dress code", "schedule"),
+    "clothing.notes": ("swimwear", "swimsuit", "attire", "dress code", "clothing"),
+    "temperature.kind": ("emerges", "source", "spring water", "heated", "pool temperature", "kept at", "degrees"),
+    "access.price": ("price", "fee", "admission", "rate", "ticket", "cost", "adult", "child"),
+    "access.currency": ("price", "fee", "admission", "rate", "ticket", "cost"),
+    "access.notes": ("access", "entry", "admission", "parking", "reservation"),
+    "hours.open": ("hours", "open", "opening", "closed", "daily", "schedule"),
+    "hours.status": ("hours", "open", "opening", "closed", "season"),
+    "hours.seasonalNotes": ("season", "hours", "closed", "winter", "summer", "holiday"),
+    "minerals.notes": ("mineral", "composition", "analysis", "water quality", "mg/l", "dissolved"),
+    "minerals.types": ("mineral", "composition", "sulphur", "sulfur", "chloride", "bicarbonate", "spring quality"),
+    "minerals.measuredAt": ("analysis", "analysed", "analyzed", "tested", "sampled"),
+    "description": ("about", "history", "overview"),
+    "location.region": ("region", "province", "state", "county"),
+    "location.nearestTown": ("town", "village", "city", "near"),
+    "name": ("name", "known as"),
+}
 
 
 def verify(claims: DataFrame, pages: DataFrame) -> DataFrame:
@@ -52,6 +72,19 @@ def source_excerpt(text: Column, value: Column, most: int = EXCERPT_CHARS) -> Co
     return F.when(F.length(text) <= most, text).otherwise(F.substring(text, F.greatest(F.lit(1), at - most // 2), F.lit(most)))
 
 
+def field_excerpt(text: Column, field: Column, most: int = EXCERPT_CHARS) -> Column:
+    """struct<text, at, matched, score>: the window of ``most`` characters where the words of the field are densest.
+
+    Each place of a word proposes a window around it; the first of the most
+    places wins, word by word.  A text that fits is taken whole, with its
+    first word found and score 0; one without any word gives its head.  Null
+    text counts as empty; a field without words finds none.
+    """
+    table = F.create_map(*[x for name, words in FIELD_WORDS.items() for x in (F.lit(name), F.array(*[F.lit(w) for w in words]))])
+    words = F.coalesce(F.try_element_at(table, field), F.array().cast("array<string>"))
+    return densest_window(F.coalesce(text, F.lit("")), words, F.lit(most))
+
+
 def strip_note(note: Column) -> Column:
     """A foreign note as plain words: no links, tags, angles, addresses or mentions; null becomes ''."""
     out = F.coalesce(note, F.lit(""))

@@ -101,8 +101,12 @@ def fill_temperature(records: DataFrame, readings: DataFrame, held: DataFrame) -
     """``records`` (id, celsius, measured_at) with matched readings (id, reading, read_at) and an ``outcome``.
 
     ``filled``; ``deferred`` to a claim of the Celsius value; ``conflict`` where
-    a known value differs; ``same``; null without a reading.
+    a known value differs; ``same``; null without a reading.  Readings with
+    ``words`` for a temperature nobody measured give records a ``qualitative`` one
+    where they have none: ``described``.
     """
+    if "words" in readings.columns:
+        return _with_words(records, readings, held)
     rows = records.join(readings, "id", "left").join(held, "id", "left")
     claimed = F.coalesce(F.array_contains("held", "celsius"), F.lit(False))
     outcome = F.when(F.col("reading").isNull(), None).when(claimed, "deferred").when(F.col("celsius").isNull(), "filled").when(F.col("celsius") != F.col("reading"), "conflict").otherwise("same")
@@ -111,3 +115,18 @@ def fill_temperature(records: DataFrame, readings: DataFrame, held: DataFrame) -
     return rows.select(
         "id", celsius.alias("celsius"), fahrenheit(celsius).alias("fahrenheit"), F.when(filled, F.col("read_at")).otherwise(F.col("measured_at")).alias("measured_at"), outcome.alias("outcome")
     )
+
+
+def _with_words(records: DataFrame, readings: DataFrame, held: DataFrame) -> DataFrame:
+    said = lambda c: F.nullif(F.col(c), F.lit(""))
+    filled = fill_temperature(records.drop("qualitative"), readings.drop("words"), held)
+    own = records.select("id", "qualitative").join(readings.select("id", "words", F.col("read_at").alias("_at")), "id", "left").join(held, "id", "left")
+    own = own.withColumn("_claimed", F.coalesce(F.array_contains("held", "celsius"), F.lit(False))).drop("held")
+    rows = filled.join(own, "id")
+    worded = F.col("outcome").isNull() & said("words").isNotNull()
+    described = worded & said("qualitative").isNull() & ~F.col("_claimed")
+    return rows.select(
+        "id", "celsius", "fahrenheit", F.when(described, F.col("words")).otherwise(said("qualitative")).alias("qualitative"),
+        F.when(described, F.col("_at")).otherwise(F.col("measured_at")).alias("measured_at"),
+        F.when(described, "described").when(worded & F.col("_claimed"), "deferred").otherwise(F.col("outcome")).alias("outcome"),
+    )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import in_box
@@ -16,17 +16,27 @@ def first_rule(records: DataFrame, rules: DataFrame) -> DataFrame:
     """``records`` with ``rule``: the first in ``ord`` whose country, box, name pattern and exceptions fit.
 
     ``rules``: rule, ord, country, west, south, east, north (null: everywhere),
-    pattern (null: any name), except (array of ids, may be null).  Rules are a
-    reviewed list, joined on the country.
+    pattern (null: any name), except (array of ids, may be null), and maybe kind:
+    ``attribute-free`` takes records whose ``attribute_free`` is true, ``listed``
+    those in ``ids``, ``name-pattern`` (and rules without a kind) goes by the
+    pattern.  Rules are a reviewed list, joined on the country.
     """
     box = F.col("west").isNull() | in_box(F.col("lat"), F.col("lng"), F.col("west"), F.col("south"), F.col("east"), F.col("north"))
     name = F.col("pattern").isNull() | F.rlike(F.coalesce("name", F.lit("")), F.col("pattern"))
     free = ~F.coalesce(F.array_contains("except", F.col("id")), F.lit(False))
-    hits = records.join(rules.withColumnRenamed("country", "_country"), F.col("country") == F.col("_country")).where(box & name & free)
+    hits = records.join(rules.withColumnRenamed("country", "_country"), F.col("country") == F.col("_country")).where(box & _fits(records, rules, name) & free)
     first = hits.groupBy("id").agg(F.min_by("rule", "ord").alias("rule"))
     return records.join(first, "id", "left")
 
 
+def _fits(records: DataFrame, rules: DataFrame, name: Column) -> Column:
+    if "kind" not in rules.columns:
+        return name
+    bare = F.coalesce("attribute_free", F.lit(False)) if "attribute_free" in records.columns else F.lit(False)
+    listed = F.coalesce(F.array_contains("ids", F.col("id")), F.lit(False)) if "ids" in rules.columns else F.lit(False)
+    return F.when(F.col("kind") == "attribute-free", bare).when(F.col("kind") == "listed", listed).otherwise(name)
+
+
 def restrict(records: DataFrame, boxes: DataFrame) -> DataFrame:
     """id, status, bathing, warnings of the records that boxes hold.
 

@@ -144,7 +144,7 @@ def build(spark: SparkSession, inputs: Inputs) -> dict[str, DataFrame]:
     named = inputs.edges.groupBy(F.col("poly").alias("country")).agg(F.first("name").alias("country_name"))
     placed = fit.join(countries, "key").join(named, "country", "left").withColumn("country_name", F.coalesce("country_name", F.lit("Unknown")))
     borehole = admission.suspected_borehole(F.col("tags"))
-    listed = rules.first_rule(placed.select(F.col("key").alias("id"), "country", "lat", "lng", F.coalesce(F.col("tags")["name"], F.lit("")).alias("name")), inputs.bad_rules).select(F.col("id").alias("key"), "rule")
+    listed = rules.first_rule(placed.select(F.col("key").alias("id"), "country", "lat", "lng", F.coalesce(F.col("tags")["name"], F.lit("")).alias("name"), parse.attribute_free(F.col("tags")).alias("attribute_free")), inputs.bad_rules).select(F.col("id").alias("key"), "rule")
     judged = written(placed.withColumn("_hole", borehole).join(listed, "key", "left").withColumn("reason", F.coalesce("_hole", F.concat(F.lit("rule "), "rule"))).drop("_hole", "rule"), "judged")
     suspects = judged.where("reason is not null").select("type", "id", "country", "lat", "lng", "reason")
     records = normalised(judged.where("reason is null"), today)

@@ -431,4 +431,4 @@ def polygon_lookup(spark, sf_dir):
     return spatial.polygon_of(springs(spark, sf_dir), edges, "id").select("id", "poly")
 
 
-from . import admission_queries, claim_queries, field_queries, match_queries, registry_queries, scene_queries, summary_queries  # noqa: E402, F401  register their own
+from . import admission_queries, card_queries, claim_queries, field_queries, match_queries, registry_queries, scene_queries, summary_queries  # noqa: E402, F401  register their own

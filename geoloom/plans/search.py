@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -24,8 +25,12 @@ class Filters:
     open_now: bool = False
     query: str = ""
 
-    def predicate(self) -> Column:
-        """One predicate, never null; the upper bound is off at 100 and more."""
+    def predicate(self, columns: Collection[str] = ()) -> Column:
+        """One predicate, never null; the upper bound is off at 100 and more.
+
+        Words are looked for in name, country and region, and in nearest_town and
+        tags (an array) where ``columns`` has them.
+        """
         t = F.col("celsius")
         warm = t >= self.least_c if self.most_c >= 100 else t.between(self.least_c, self.most_c)
         out = F.when(t.isNull(), F.lit(self.unknown_temperature)).otherwise(warm)
@@ -40,14 +45,17 @@ class Filters:
         if self.open_now:
             out &= F.coalesce(F.col("hours") == "open", F.lit(False))
         if words := self.query.strip().lower():
-            text = F.lower(F.concat_ws(" ", *[F.nullif(c, F.lit("")) for c in ("name", "country", "region")]))
+            said = [F.nullif(c, F.lit("")) for c in ("name", "country", "region", "nearest_town") if c != "nearest_town" or c in columns]
+            if "tags" in columns:
+                said.append(F.filter("tags", lambda t: t != ""))
+            text = F.lower(F.concat_ws(" ", *said))
             out &= F.contains(text, F.lit(words))
         return out
 
 
 def search(springs: DataFrame, filters: Filters, near: tuple[float, float] | None = None, limit: int = 60) -> DataFrame:
     """The first ``limit`` springs: nearest first, or the most complete; ties by id."""
-    found = springs.where(filters.predicate())
+    found = springs.where(filters.predicate(springs.columns))
     if near:
         metres = half_up(distance_m(F.col("lat"), F.col("lng"), F.lit(near[0]), F.lit(near[1]))).cast("long")
         return found.withColumn("metres", metres).orderBy("metres", "id").limit(limit)
