@@ -35,6 +35,8 @@ from .token_ids import encoder, groups
 #: doc_id is 0 where ``null`` is 1; ``offset`` and ``length`` are bytes of the payload.
 ENTRY = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("length", "<u4"), ("n_tokens", "<u4")])
 SEGMENT_BYTES = 4 << 20
+#: Ranges of ids that a reader of named documents prunes segments by.
+RANGES = 64
 DICTIONARY_BYTES = 64 << 10
 #: The dictionary serves short documents; it learns from at most so many texts of at most so many bytes.
 DICTIONARY_TEXTS = 1000
@@ -161,11 +163,22 @@ def _content(spark: SparkSession, path: str) -> bytes:
     return bytes(row["content"])
 
 
+def id_ranges(ids: np.ndarray) -> list[tuple[int, int]]:
+    """At most ``RANGES`` (first, last) that hold all of the sorted ids, cut at their widest gaps."""
+    if not len(ids):
+        return []
+    # as objects: gaps between 64-bit numbers may need 65 bits
+    gaps = np.diff(ids.astype(object))
+    cuts = np.sort(np.argsort(-gaps, kind="stable")[: RANGES - 1]) + 1 if len(gaps) else np.zeros(0, int)
+    return [(int(part[0]), int(part[-1])) for part in np.split(ids, cuts)]
+
+
 def read_token_files(spark: SparkSession, path: str, doc_ids: list[int] | None = None, with_ids: bool = True) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 and (``with_ids``) ids of the documents in ``path``.
 
-    ``doc_ids`` fetches these only: segments are pruned by their id range and
-    just the named frames are decompressed.  Frames of a dictionary other than
+    ``doc_ids`` fetches these only: segments are pruned by at most ``RANGES``
+    ranges of ids, however many there are, and just the named frames are
+    decompressed.  Frames of a dictionary other than
     the stored one are refused.
     """
     content = _content(spark, path)
@@ -180,8 +193,8 @@ def read_token_files(spark: SparkSession, path: str, doc_ids: list[int] | None =
     if doc_ids is not None:
         wanted = np.array(sorted(set(doc_ids)), "i8")
         near = F.lit(False)
-        for d in wanted.tolist():
-            near = near | F.lit(d).between(F.col("first_doc"), F.col("last_doc"))
+        for first, last in id_ranges(wanted):
+            near = near | ((F.col("last_doc") >= first) & (F.col("first_doc") <= last))
         rows = rows.where(near)
     fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int64()))] * with_ids
 

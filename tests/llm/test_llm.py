@@ -264,6 +264,14 @@ def test_token_files_round_trip(spark, tmp_path, tokenizer, documents, odd, empt
         assert ids == sorted(ids, key=lambda d: (d is not None, d))
     some = token_files.read_token_files(spark, f"file://{tmp_path}/documents", doc_ids=[3, 7, -1])
     assert sorted(r["doc_id"] for r in some.collect()) == [3, 7]
+    many = [3, 7, *range(-20_000, 0, 2), *range(10**6, 10**6 + 20_000, 3), -(2**63), 2**63 - 1]
+    some = token_files.read_token_files(spark, f"file://{tmp_path}/documents", doc_ids=many)
+    assert sorted(r["doc_id"] for r in some.collect()) == [3, 7]
+    assert token_files.read_token_files(spark, f"file://{tmp_path}/documents", doc_ids=[]).count() == 0
+    for n in (1, 2, 64, 65, 1000):
+        ids = np.array(sorted(random.Random(n).sample(range(10**9), n)), "i8")
+        ranges = token_files.id_ranges(ids)
+        assert len(ranges) == min(n, 64) and sum(int(((ids >= a) & (ids <= b)).sum()) for a, b in ranges) == n
 
 
 def check_packing(got, frame, tokenizer, capacity):
