@@ -65,7 +65,7 @@ def without_private(records: DataFrame, exclusions: DataFrame, radius_m: float =
     """
     refs = records.select("id", F.explode_outer("refs").alias("ref")).join(exclusions.where("ref is not null").select("ref"), "ref", "left_semi").select("id")
     spots = exclusions.where("ex_lat is not null").select(F.col("ex_lat").alias("r_lat"), F.col("ex_lng").alias("r_lng"))
-    near = radius_join(records.select("id", "lat", "lng"), spots, radius_m).select("id")
+    near = radius_join(records.select("id", "lat", "lng"), spots, radius_m, how="broadcast").select("id")
     # a reviewed list of patterns becomes one alternation for one scan
     patterns = exclusions.where("pattern is not null").agg(F.array_join(F.array_sort(F.collect_set("pattern")), "|").alias("all_patterns"))
     named = records.select("id", "name").join(F.broadcast(patterns)).where((F.col("all_patterns") != "") & F.rlike("name", F.concat(F.lit("(?i)"), F.col("all_patterns")))).select("id")

@@ -1,8 +1,9 @@
 """Spatial joins on an exploded grid: an equi-join on cells, then the exact distance.
 
 Points have ``lat`` and ``lng``; columns that both sides share must be renamed
-before.  Only the smaller side should be the ``right`` one: its rows are copied
-to about nine cells each.
+before.  One side's rows are copied to about five cells each; it should be the
+smaller one.  Spark's estimate of a table's size doesn't count these copies, so
+large tables would be broadcast through the driver: such joins are shuffled.
 """
 
 from __future__ import annotations
@@ -14,17 +15,18 @@ from pyspark.sql import functions as F
 from ..functions.geo import DEGREE_M, cell, cells_near, crosses, distance_m, half_up, in_box
 
 
-def radius_join(left: DataFrame, right: DataFrame, radius_m: float, also: Column | None = None) -> DataFrame:
+def radius_join(left: DataFrame, right: DataFrame, radius_m: float, also: Column | None = None, spread: str = "right", how: str = "merge") -> DataFrame:
     """Pairs within ``radius_m``, with ``metres`` (whole), for which ``also`` holds too.
 
     ``right`` has ``r_lat`` and ``r_lng``.  Rows without a position pair with none.  An equality in ``also`` is part of the join's key.
+    ``spread`` names the side whose rows are copied to their cells, ``how`` the join's hint: only a short reviewed list may be broadcast.
     """
-    near = right.withColumn("_cell", F.explode(cells_near(F.col("r_lat"), F.col("r_lng"), radius_m)))
-    keyed = left.withColumn("_cell", cell(F.col("lat"), F.col("lng"), radius_m))
+    here, there = (F.col("lat"), F.col("lng"), radius_m), (F.col("r_lat"), F.col("r_lng"), radius_m)
+    keyed = left.withColumn("_cell", F.explode(cells_near(*here)) if spread == "left" else cell(*here))
+    near = right.withColumn("_r_cell", F.explode(cells_near(*there)) if spread == "right" else cell(*there))
     exact = distance_m(F.col("lat"), F.col("lng"), F.col("r_lat"), F.col("r_lng"))
-    near = near.withColumnRenamed("_cell", "_r_cell")
     met = F.col("_cell") == F.col("_r_cell")
-    joined = keyed.join(near, met if also is None else met & also).withColumn("_d", exact).where(F.col("_d") <= radius_m)
+    joined = keyed.join(near.hint(how), met if also is None else met & also).withColumn("_d", exact).where(F.col("_d") <= radius_m)
     return joined.withColumn("metres", half_up(F.col("_d")).cast("long")).drop("_cell", "_r_cell", "_d")
 
 
@@ -33,16 +35,16 @@ def without_neighbour(left: DataFrame, right: DataFrame, radius_m: float) -> Dat
     near = right.select(F.explode(cells_near(F.col("r_lat"), F.col("r_lng"), radius_m + 1)).alias("_r_cell"), "r_lat", "r_lng")
     keyed = left.withColumn("_cell", cell(F.col("lat"), F.col("lng"), radius_m + 1))
     close = half_up(distance_m(keyed["lat"], keyed["lng"], near["r_lat"], near["r_lng"])) <= radius_m
-    return keyed.join(near, (keyed["_cell"] == near["_r_cell"]) & close, "left_anti").drop("_cell")
+    return keyed.join(near.hint("merge"), (keyed["_cell"] == near["_r_cell"]) & close, "left_anti").drop("_cell")
 
 
 def nearest_within(left: DataFrame, right: DataFrame, left_id: str, right_order: Column, radius_m: float) -> DataFrame:
     """For each left row its nearest right row within ``radius_m``; ties keep the first of ``right_order``.
 
     A nearest row further away would be rejected for its distance anyway, so
-    the grid loses nothing.
+    the grid loses nothing.  ``left`` should be the smaller table.
     """
-    pairs = radius_join(left, right, radius_m).withColumn("_exact", distance_m(F.col("lat"), F.col("lng"), F.col("r_lat"), F.col("r_lng")))
+    pairs = radius_join(left, right, radius_m, spread="left").withColumn("_exact", distance_m(F.col("lat"), F.col("lng"), F.col("r_lat"), F.col("r_lng")))
     rank = F.row_number().over(W.partitionBy(left_id).orderBy("_exact", right_order))
     return pairs.withColumn("_rank", rank).where("_rank = 1").drop("_rank", "_exact")
 
@@ -87,11 +89,11 @@ def nearest_anywhere(left: DataFrame, right: DataFrame, left_id: str, right_id:
         reach = F.min("_d").over(W.partitionBy(left_id))
         near = open_cells.withColumn("_d", away).withColumn("_reach", reach).where(F.col("_d") - across <= F.col("_reach") + ROUNDING_M).select(left_id, "lat", "lng", "_y", "_x")
         if level == last:
-            open_cells = near.join(rows, ["_y", "_x"])
+            open_cells = near.join(rows.hint("merge"), ["_y", "_x"])
             break
         below = cells[level + 1].select(up("_y").alias("_py"), up("_x").alias("_px"), "_y", "_x", "_y1", "_x1")
-        # the second level has at most 40 x 64 cells
-        below = F.broadcast(below) if level == 0 else below
+        # the second level has at most 40 x 64 cells, the third 64 times as many; all others grow with the table
+        below = F.broadcast(below) if level <= 1 else below.hint("merge")
         open_cells = near.withColumnsRenamed({"_y": "_py", "_x": "_px"}).join(below, ["_py", "_px"]).select(left_id, "lat", "lng", "_y", "_x", "_y1", "_x1")
     best = open_cells.withColumn("_d", away).groupBy(left_id).agg(F.min(F.struct("_d", "_rep")).alias("b"))
     return best.select(left_id, F.col("b._rep").alias(right_id), half_up(F.col("b._d")).cast("long").alias("metres"))

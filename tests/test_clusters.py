@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from geoloom.operators import cluster
+from geoloom.operators import cluster, dedupe, spatial
 
 
 def metres(a, b):
@@ -52,3 +52,33 @@ def test_many_points_at_one_place(spark):
     rows = cluster.sites(spark.createDataFrame(points, "id long, lat double, lng double"))
     assert sorted(tuple(r) for r in rows.groupBy("site").agg(F.max("springs"), F.count("*")).collect()) == [(0, 20_000, 20_000), (20_000, 20_000, 20_000), (99_999, 1, 1)]
     assert time.time() - began < 120
+
+
+def broadcasts(frame):
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return "Broadcast" in plan
+
+
+def test_copies_of_a_large_table_are_not_broadcast(spark):
+    """Spark's estimate of a table's size leaves out the copies to cells: a small estimate says nothing of them."""
+    points = spark.range(1000).select("id", F.col("id").alias("ord"), (F.col("id") * 0.001).alias("lat"), F.lit(1.0).alias("lng"), F.lit("n").alias("norm"), F.lit("way").alias("kind"), F.lit(1).alias("completeness"))
+    other = points.select(F.col("id").alias("r_id"), F.col("lat").alias("r_lat"), F.col("lng").alias("r_lng"))
+    for side in ("left", "right"):
+        assert not broadcasts(spatial.radius_join(points, other, 500, spread=side))
+    assert not broadcasts(spatial.without_neighbour(points, other, 500))
+    assert not broadcasts(dedupe.pairs_of_one_spring(points))
+    assert not broadcasts(cluster.sites(points))
+    assert not broadcasts(dedupe.survivors(points))
+
+
+@pytest.mark.parametrize(("lat", "lng"), [(0.0, 0.0), (-33.0, 179.999), (64.0, -20.0), (89.9, 0.0), (89.995, 0.0), (47.0, 8.0)])
+def test_either_side_can_be_spread(spark, lat, lng):
+    rng = random.Random(str((lat, lng)))
+    wide = 0.03 / max(0.001, math.cos(math.radians(lat)))
+    places = [(i, min(90.0, lat + rng.uniform(-0.03, 0.03)), (lng + rng.uniform(-wide, wide) + 180) % 360 - 180) for i in range(300)]
+    left = spark.createDataFrame(places, "id long, lat double, lng double")
+    right = left.selectExpr("id as r_id", "lat as r_lat", "lng as r_lng")
+    for radius in (200, 1500):
+        exact = sorted((a[0], b[0]) for a in places for b in places if metres(a[1:], b[1:]) <= radius)
+        for side in ("left", "right"):
+            assert sorted((r["id"], r["r_id"]) for r in spatial.radius_join(left, right, radius, spread=side).collect()) == exact
