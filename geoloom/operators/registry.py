@@ -64,7 +64,7 @@ def resolve(records: DataFrame, registry: DataFrame) -> DataFrame:
         pairs = written(_class_pairs(starters, entries), "classes")
         node = lambda c: F.xxhash64(F.lit("class"), c)
         edges = edges.unionByName(both.where("not found and _class is not null").select(here.alias("a"), node("_class").alias("b"))).unionByName(pairs.select(node("record_class").alias("a"), node("entry_class").alias("b")))
-    roots = components(edges)
+    roots = components(edges, shuffled=True)
 
     def rooted(rows: DataFrame, node: Column) -> DataFrame:
         return rows.withColumn("_node", node).join(roots, F.col("_node") == roots["node"], "left").withColumn("root", F.coalesce("root", "_node")).drop("_node", "node")
