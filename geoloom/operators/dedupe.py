@@ -56,9 +56,9 @@ def survivors(records: DataFrame) -> DataFrame:
     edges = by_name.unionByName(nearby)
     for hubs in (named, close):
         edges = edges.unionByName(hubs.select(F.col("node").alias("a"), F.col("hub").alias("b")))
-    roots = components(edges)
+    roots = components(edges, shuffled=True)
     # a cluster's root is no node of the table
-    labelled = records.join(roots, records["id"] == roots["node"], "left").withColumn("root", F.coalesce("root", "id"))
+    labelled = records.join(roots.hint("merge"), records["id"] == roots["node"], "left").withColumn("root", F.coalesce("root", "id"))
     grouped = labelled.select("id", "ord", "lat", "lng", "norm", "kind", "completeness", "root")
 
     def fold(group: list) -> list[tuple[int, int]]:
@@ -97,7 +97,7 @@ def survivors(records: DataFrame) -> DataFrame:
 
     # clusters are small and many: one sorted stream a task, not a call a cluster
     folded = grouped.repartition("root").sortWithinPartitions("root", "ord").mapInPandas(run, "id long, survivor long")
-    return records.select("id").join(folded, "id", "left").select("id", F.coalesce("survivor", "id").alias("survivor"))
+    return records.select("id").join(folded.hint("merge"), "id", "left").select("id", F.coalesce("survivor", "id").alias("survivor"))
 
 
 def pairs_of_one_spring(records: DataFrame) -> DataFrame:
