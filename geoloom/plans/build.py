@@ -129,7 +129,7 @@ def coarse_bindings(records: DataFrame) -> DataFrame:
     named = records.select("key", "refs", "location.lat", "location.lng", identity_name(F.col("name")).alias("called"), admission.coarse_pin(F.col("quality.provenance")).alias("pin")).where(F.length("called") >= LEAST_NAME)
     pins = named.where("pin").select(F.col("key").alias("pin"), F.col("refs").alias("pin_refs"), "lat", "lng", "called")
     others = named.where("not pin").select(F.col("key").alias("target"), F.col("lat").alias("r_lat"), F.col("lng").alias("r_lng"), F.col("called").alias("r_called"))
-    pairs = spatial.radius_join(pins, others, BIND_M).where("called = r_called")
+    pairs = spatial.radius_join(pins, others, BIND_M, spread="left").where("called = r_called")
     return spatial.unique_both_ways(pairs, "pin", "target").where("verdict = 'matched'").select("pin", "pin_refs", "target", "metres")
 
 
