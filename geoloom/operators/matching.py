@@ -110,7 +110,7 @@ def match_groups(wells: DataFrame, records: DataFrame, radius_m: float = NEAR_M)
     spots = wells.groupBy(key.alias("group"), "onsen", "source", "lat", "lng").agg(F.min("ser").alias("ser"))
     places = records.groupBy("name", F.col("lat").alias("r_lat"), F.col("lng").alias("r_lng")).agg(F.min("id").alias("id"), F.count("*").alias("n"))
     agreement = F.coalesce(name_agreement(F.col("name"), F.col("onsen")), name_agreement(F.col("name"), F.col("source")))
-    pairs = radius_join(spots, places, radius_m).withColumn("agreement", agreement).where("agreement is not null")
+    pairs = radius_join(spots, places, radius_m, spread="left").withColumn("agreement", agreement).where("agreement is not null")
     nearest = pairs.groupBy("group", "id").agg(F.min(F.struct("metres", "ser", "agreement")).alias("best"), F.first("n").alias("n"))
     groups = nearest.groupBy("group").agg(F.sum("n").alias("hits"), F.min(F.struct("id", "best.metres", "best.agreement")).alias("hit"))
     one = F.when(F.col("hits") == 1, F.col("hit"))
