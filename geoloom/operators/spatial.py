@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.geo import DEGREE_M, cell, cells_near, crosses, distance_m, half_up, in_box
+from ..shared import written
 
 
 def radius_join(left: DataFrame, right: DataFrame, radius_m: float, also: Column | None = None, spread: str = "right", how: str = "merge") -> DataFrame:
@@ -70,7 +71,8 @@ def nearest_anywhere(left: DataFrame, right: DataFrame, left_id: str, right_id:
     rows = right.where("r_lat is not null and r_lng is not null").select(
         F.col(right_id).alias("_rep"), F.col("r_lat").alias("_y1"), F.col("r_lng").alias("_x1"), F.floor((F.col("r_lat") + 90) / size(last)).alias("_y"), F.floor(turned / size(last)).alias("_x")
     )
-    cells = {last: rows.groupBy("_y", "_x").agg(F.min(F.struct("_rep", "_y1", "_x1")).alias("r")).select("_y", "_x", "r.*")}
+    # every level above is made of these
+    cells = {last: written(rows.groupBy("_y", "_x").agg(F.min(F.struct("_rep", "_y1", "_x1")).alias("r")).select("_y", "_x", "r.*"), "nearest-cells")}
     up = lambda c: F.floor(F.col(c) / SPLIT)
     for level in range(last - 1, -1, -1):
         cells[level] = cells[level + 1].groupBy(up("_y").alias("_y"), up("_x").alias("_x")).agg(F.min(F.struct("_rep", "_y1", "_x1")).alias("r")).select("_y", "_x", "r.*")
