@@ -108,7 +108,7 @@ BLANKS = r"[\s 　]"
 def canonical_types(found: Column) -> Column:
     """Each type once, in order; simple only where nothing else is found."""
     others = F.size(F.array_distinct(found)) > 1
-    return F.filter(F.array(*map(F.lit, TYPES)), lambda t: F.array_contains(found, t) & ~(others & (t == "simple")))
+    return F.filter(F.array(*map(F.lit, TYPES)), lambda t: F.array_contains(found, t) & ~((t == "simple") & others))
 
 
 def read_classification(value: Column) -> Column:
@@ -142,17 +142,20 @@ def classification_outcome(values: Column, upstream: Column, claim: Column) -> C
     but a fully understood value that says otherwise is a contest.
     """
     nothing = F.lit(None).cast("array<string>")
-    read = read_classification(F.get(values, F.lit(0)))
-    types, whole = read["types"], read["residue"] == ""
     open_field = (F.size(values) == 1) & (F.coalesce(F.size(upstream), F.lit(0)) <= 0)
-    claimed = canonical_types(claim)
-    told = open_field & whole & (F.size(types) > 0)
-    quoted = F.regexp_replace(read["residue"], r'(["\\])', r"\\$1")
-    withheld = F.when(F.size(values) > 1, "wells disagree on 泉質").when(
-        open_field & claim.isNull() & ~whole, F.concat(F.lit('泉質 not fully understood: "'), quoted, F.lit('"'))
-    )
-    return F.struct(
-        F.when(told & claim.isNull(), types).otherwise(nothing).alias("write"),
-        F.when(told & claim.isNotNull() & (types != claimed), types).otherwise(nothing).alias("contest"),
-        withheld.alias("withheld"),
-    )
+
+    def verdict(read: Column) -> Column:
+        types, whole = read["types"], read["residue"] == ""
+        told = open_field & whole & (F.size(types) > 0)
+        quoted = F.regexp_replace(read["residue"], r'(["\\])', r"\\$1")
+        withheld = F.when(F.size(values) > 1, "wells disagree on 泉質").when(
+            open_field & claim.isNull() & ~whole, F.concat(F.lit('泉質 not fully understood: "'), quoted, F.lit('"'))
+        )
+        return F.struct(
+            F.when(told & claim.isNull(), types).otherwise(nothing).alias("write"),
+            F.when(told & claim.isNotNull() & (types != canonical_types(claim)), types).otherwise(nothing).alias("contest"),
+            withheld.alias("withheld"),
+        )
+
+    # a lambda's variable is worked out once; a column would be read again wherever it is named
+    return F.get(F.transform(F.array(F.when(open_field, read_classification(F.get(values, F.lit(0))))), verdict), F.lit(0))

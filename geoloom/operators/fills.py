@@ -69,13 +69,15 @@ def fill_panel(records: DataFrame, panel: DataFrame, held: DataFrame, fields: tu
     """
     rows = records.join(panel, "id", "left").join(held, "id", "left")
     matched = F.col("p_classes").isNotNull()
+    # a column of its own: several below are made of it, and each would read the classes again
+    rows = rows.withColumn("_outcome", F.when(matched, classification_outcome(F.col("p_classes"), F.col("types"), F.col("held_types"))))
     claimed = lambda f: F.coalesce(F.array_contains("held", f), F.lit(False))
     reason, write = {}, {}
     for f in fields:
         lacks_unit = F.lit(False) if f in UNITLESS else F.col("p_unit").isNull()
         reason[f] = F.when(matched & lacks_unit, NO_UNIT).when(matched & F.col(f"p_{f}").isNull(), DISAGREE)
         write[f] = matched & reason[f].isNull() & F.col(f).isNull() & ~claimed(f)
-    outcome = F.when(matched, classification_outcome(F.col("p_classes"), F.col("types"), F.col("held_types")))
+    outcome = F.col("_outcome")
     write["types"] = outcome["write"].isNotNull() & ~claimed("types")
     # the verdicts come from the columns as they were, so they are settled first
     said = F.array_compact(F.array(*[F.when(reason[f].isNotNull(), F.struct(F.lit(f).alias("field"), reason[f].alias("reason"))) for f in fields],

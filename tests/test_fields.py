@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geoloom.functions import measures, minerals, tags
+from geoloom.operators import fills
 from geoloom.plans.search import publish_order
 from geoloom.sources import sheets
 
@@ -122,3 +123,14 @@ def test_publish_order(spark):
     got = publish_order(spark.createDataFrame(rows, "country string, name string")).collect()
     assert [tuple(r) for r in got][:4] == [(None, "x"), ("a", "eagle"), ("a", "Éclair"), ("a", "zoo")]
     assert {r["name"] for r in got[4:6]} == {None, ""} and got[6]["country"] == "b"
+
+
+def test_classes_are_read_once_a_row(spark):
+    """A filled panel names the outcome of its classes several times; the words must be looked for once."""
+    k = F.col("id")
+    panel = spark.range(4).select("id", F.lit(1.0).alias("p_ph"), F.lit("mg/l").alias("p_unit"), F.lit("2000").alias("p_year"), F.array(F.concat(F.lit("硫黄泉"), k.cast("string"))).alias("p_classes"))
+    records = spark.range(4).select("id", F.lit(None).cast("double").alias("ph"), F.lit(None).cast("array<string>").alias("types"), F.lit(None).cast("string").alias("unit"), F.lit(None).cast("string").alias("measured_at"))
+    held = spark.range(1).select("id", F.array(F.lit("ph")).alias("held"), F.lit(None).cast("array<string>").alias("held_types"))
+    filled = fills.fill_panel(records, panel, held, ("ph",))
+    # one for the words, one inside it for the noise
+    assert filled._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 2
