@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.geo import distance_m
+from ..functions.geo import cell, distance_m
 from ..functions.parse import mint_id
 from ..functions.text import norm_name
 from ..shared import written
@@ -20,6 +20,8 @@ from .spatial import radius_join
 
 #: What makes two events the same (not where a value came from).
 STATE_KEY = ("type", "spring", "path", "to")
+#: Rows of one area, twice as many metres wide, are connected by one task first.
+AREA_M = 50_000.0
 
 
 def mint_ref(refs: Column) -> Column:
@@ -47,52 +49,55 @@ def resolve(records: DataFrame, registry: DataFrame) -> DataFrame:
     """
     placed = {"lat", "lng", "name", "kind"} <= set(records.columns) & set(registry.columns)
     records = _with_class(records.withColumn("_mint", mint_id(mint_ref(F.col("refs")))), placed)
-    entries = _with_class(registry, placed)
-    wanted = records.select("key", F.explode("refs").alias("ref")).distinct()
+    entries = written(_with_class(registry, placed).select("entry", "spring", "refs", "_class", "_place"), "entries")
+    # files are a fraction of their rows: no join trusts Spark's estimate of the size, which would broadcast them through the driver
+    wanted = records.select("key", F.explode(F.array_distinct("refs")).alias("ref"))
     first = wanted.groupBy("ref").agg(F.min("key").alias("first"))
     listed = entries.select(F.explode("refs").alias("ref")).distinct().withColumn("listed", F.lit(True))
-    told = wanted.join(first, "ref").join(listed, "ref", "left").groupBy("key").agg(F.bool_or(F.coalesce("listed", F.lit(False)) | (F.col("first") < F.col("key"))).alias("found"))
-    marked = written(records.join(told, "key", "left").select("key", "refs", "_mint", "_class", "_place", F.coalesce("found", F.lit(False)).alias("found")), "records")
+    told = wanted.join(first.hint("merge"), "ref").join(listed.hint("merge"), "ref", "left").groupBy("key").agg(F.bool_or(F.coalesce("listed", F.lit(False)) | (F.col("first") < F.col("key"))).alias("found"))
+    marked = written(records.join(told.hint("merge"), "key", "left").select("key", "refs", "_mint", "_class", "_place", F.coalesce("found", F.lit(False)).alias("found")), "records")
     starters = marked.where("not found")
 
     # one graph of references and classes; an entry or record is at the node of its first reference, or of its class
     here = F.coalesce(F.xxhash64(F.get("refs", F.lit(0))), F.xxhash64(F.lit("class"), "_class"))
-    both = marked.select("refs", "_class", "found").unionByName(entries.select("refs", "_class", F.lit(False).alias("found")))
-    edges = both.select(here.alias("a"), F.explode(F.transform("refs", lambda r: F.xxhash64(r))).alias("b"))
+    area = F.when(F.col("_place").isNotNull(), F.xxhash64(cell(F.col("_place.lat"), F.col("_place.lng"), AREA_M))) if placed else F.lit(None).cast("long")
+    both = marked.select("refs", "_class", "_place", "found").unionByName(entries.select("refs", "_class", "_place", F.lit(False).alias("found"))).withColumn("area", F.coalesce(area, here))
+    edges = both.select(here.alias("a"), F.explode(F.transform("refs", lambda r: F.xxhash64(r))).alias("b"), "area")
     pairs = None
     if placed:
         pairs = written(_class_pairs(starters, entries), "classes")
         node = lambda c: F.xxhash64(F.lit("class"), c)
-        edges = edges.unionByName(both.where("not found and _class is not null").select(here.alias("a"), node("_class").alias("b"))).unionByName(pairs.select(node("record_class").alias("a"), node("entry_class").alias("b")))
-    roots = components(edges, shuffled=True)
+        edges = edges.unionByName(both.where("not found and _class is not null").select(here.alias("a"), node("_class").alias("b"), "area")).unionByName(pairs.select(node("record_class").alias("a"), node("entry_class").alias("b"), "area"))
+    roots = components(edges, shuffled=True, near=["area"])
 
     def rooted(rows: DataFrame, node: Column) -> DataFrame:
-        return rows.withColumn("_node", node).join(roots, F.col("_node") == roots["node"], "left").withColumn("root", F.coalesce("root", "_node")).drop("_node", "node")
+        return rows.withColumn("_node", node).join(roots.hint("merge"), F.col("_node") == roots["node"], "left").withColumn("root", F.coalesce("root", "_node")).drop("_node", "node")
 
     records_in, entries_in = rooted(marked, here), rooted(entries, here)
     sources = records_in.where("not found").select("root", F.col("_mint").alias("spring"), F.lit("minted").alias("how")).unionByName(entries_in.select("root", "spring", F.lit("known").alias("how")))
     groups = written(sources.groupBy("root").agg(F.count("*").alias("n"), F.min("spring").alias("spring"), F.min("how").alias("how")), "groups")
-    alone = records_in.join(groups.where("n = 1"), "root").select("key", "spring", F.when(~F.col("found"), "minted").otherwise("known").alias("how"))
+    alone = records_in.join(groups.where("n = 1").hint("merge"), "root").select("key", "spring", F.when(~F.col("found"), "minted").otherwise("known").alias("how"))
 
-    crowded = groups.where("n > 1").select("root")
+    crowded = groups.where("n > 1").select("root").hint("merge")
     none = lambda kind: F.lit(None).cast(kind)
     stream = records_in.join(crowded, "root").select("root", F.lit(2).alias("part"), F.col("key").cast("long").alias("at"), "refs", F.col("_mint").alias("spring"), F.col("_class").alias("cls"), none("string").alias("other"))
     stream = stream.unionByName(entries_in.join(crowded, "root").select("root", F.lit(0).alias("part"), F.col("entry").cast("long").alias("at"), "refs", "spring", F.col("_class").alias("cls"), none("string").alias("other")))
     if placed:
         links = rooted(pairs, node("record_class")).join(crowded, "root")
         stream = stream.unionByName(links.select("root", F.lit(1).alias("part"), none("long").alias("at"), none("array<string>").alias("refs"), none("string").alias("spring"), F.col("record_class").alias("cls"), F.col("entry_class").alias("other")))
-    ordered = stream.repartition("root").sortWithinPartitions("root", "part", "at").mapInArrow(_in_order, "key long, spring string, how string")
+    # by a column of its own: Spark leaves out a repartition by "root" where all parts of the union come from joins by it, and then reads their partitions apart
+    ordered = stream.repartition(F.xxhash64("root")).sortWithinPartitions("root", "part", "at").mapInArrow(_in_order, "key long, spring string, how string")
     kind = dict(records.dtypes)["key"]
     found = written(alone.unionByName(ordered.select(F.col("key").cast(kind).alias("key"), "spring", "how")), "resolved")
 
     # two references of one hash, or an id of the registry again
     minted = found.where("how = 'minted'")
-    taken = minted.select("spring").unionByName(registry.select("spring").join(minted.select("spring"), "spring", "left_semi")).groupBy("spring").count().where("count > 1")
+    taken = minted.select("spring").unionByName(entries.select("spring").join(minted.select("spring").hint("merge"), "spring", "left_semi")).groupBy("spring").count().where("count > 1")
     clash = taken.agg(F.max("spring").alias("clash")).first()["clash"]
     if clash is not None:
         raise ValueError(f"two references mint the id {clash}")
     sound = F.when((F.col("how") == "minted") & F.col("spring").isNull(), F.raise_error(F.concat(F.lit("no reference to mint an id from: record "), F.col("key").cast("string")))).otherwise(F.col("spring"))
-    return marked.select("key", "refs").join(found, "key").select("key", "refs", sound.alias("spring"), "how")
+    return marked.select("key", "refs").join(found.hint("merge"), "key").select("key", "refs", sound.alias("spring"), "how")
 
 
 def _with_class(rows: DataFrame, placed: bool) -> DataFrame:
@@ -105,13 +110,13 @@ def _with_class(rows: DataFrame, placed: bool) -> DataFrame:
 
 
 def _class_pairs(starters: DataFrame, entries: DataFrame) -> DataFrame:
-    """(record_class, entry_class): places that are the same spring."""
+    """(record_class, entry_class, area of the record): places that are the same spring."""
     mine = starters.where("_class is not null").select("_class", "_place").distinct().select(F.col("_class").alias("record_class"), "_place.*")
     theirs = entries.where("_class is not null").select("_class", "_place").distinct().select(
         F.col("_class").alias("entry_class"), F.col("_place.lat").alias("r_lat"), F.col("_place.lng").alias("r_lng"), F.col("_place.name").alias("r_name"), F.col("_place.kind").alias("r_kind")
     )
     d = distance_m(F.col("lat"), F.col("lng"), F.col("r_lat"), F.col("r_lng"))
-    return radius_join(mine, theirs, SAME_NAME_M).where(same_spring(F.col("name"), F.col("r_name"), F.col("kind"), F.col("r_kind"), d)).select("record_class", "entry_class")
+    return radius_join(mine, theirs, SAME_NAME_M).where(same_spring(F.col("name"), F.col("r_name"), F.col("kind"), F.col("r_kind"), d)).select("record_class", "entry_class", F.xxhash64(cell(F.col("lat"), F.col("lng"), AREA_M)).alias("area"))
 
 
 def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,43 +124,44 @@ def _in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     root = None
     for batch in batches:
         out: list[tuple[int, str | None, str]] = []
-        for r in batch.to_pylist():
-            if r["root"] != root:
-                root = r["root"]
+        for new, part, at, refs, spring, cls, other in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if new != root:
+                root = new
                 holder: dict[str, str] = {}  # reference: the spring it belongs to
                 held: dict[str, set] = defaultdict(set)  # spring: its references
                 lost: dict[str, set] = defaultdict(set)  # spring: those that belong to another one now
                 seen: set[str] = set()
                 queue: dict[str, deque] = defaultdict(deque)  # class: entries in order
                 near: dict[str, list] = defaultdict(list)
-            if r["part"] == 0:
-                for ref in r["refs"] or ():
-                    if (before := holder.get(ref)) not in (None, r["spring"]):
+            refs = refs or ()
+            if part == 0:
+                for ref in refs:
+                    if (before := holder.get(ref)) not in (None, spring):
                         lost[before].add(ref)
-                    holder[ref] = r["spring"]
-                    held[r["spring"]].add(ref)
-                queue[r["cls"]].append((r["at"], r["spring"]))
+                    holder[ref] = spring
+                    held[spring].add(ref)
+                queue[cls].append((at, spring))
                 continue
-            if r["part"] == 1:
-                near[r["cls"]].append(r["other"])
+            if part == 1:
+                near[cls].append(other)
                 continue
-            refs = r["refs"] or ()
+            own = spring
             spring, how = next((holder[x] for x in refs if x in holder), None), "known"
             if spring is None:
                 heads = []
-                for c in near.get(r["cls"], ()):
+                for c in near.get(cls, ()):
                     while queue[c] and queue[c][0][1] in seen:
                         queue[c].popleft()
                     if queue[c]:
                         heads.append(queue[c][0])
-                spring, how = (min(heads)[1], "moved") if heads else (r["spring"], "minted")
+                spring, how = (min(heads)[1], "moved") if heads else (own, "minted")
             for ref in {*refs, *lost.pop(spring, ())}:
                 if (before := holder.get(ref)) not in (None, spring):
                     lost[before].add(ref)
                 holder[ref] = spring
                 held[spring].add(ref)
             seen.add(spring)
-            out.append((r["at"], spring, how))
+            out.append((at, spring, how))
         if out:
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)], names=["key", "spring", "how"])
 

@@ -144,3 +144,41 @@ def test_nearest_at_any_distance(spark):
     assert far == {i: o for i, (d, o) in best.items() if math.floor(d + 0.5) > 1000} | {205: None}
     nothing = spatial.gaps(a.where("lat is not null"), b.where("other < 0"), 1000, "id", "other")
     assert nothing.where(F.col("other").isNull()).count() == len(best)
+
+
+def test_order_without_broadcasts(spark):
+    """As on tables too large to broadcast: all parts of the stream come from joins by the groups' key, and must still meet."""
+    from geoloom.plans import queries, registry_queries, tables  # noqa: F401
+
+    rows = spark.range(2000).select(F.col("id").alias("o_orderkey"))
+    held = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.parallelismFirst", "spark.sql.shuffle.partitions")}
+    read = registry_queries.table
+    try:
+        for k, v in zip(held, ("-1", "false", "7"), strict=True):
+            spark.conf.set(k, v)
+        registry_queries.table = lambda *_: rows
+        got = {r["key"]: (r["spring"], r["how"]) for r in registry_queries.registry_moves(spark, "").collect()}
+    finally:
+        registry_queries.table = read
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    want = {}
+    for start in range(0, 2000, 20):
+        own = lambda kind, x: f"{kind}/{x}"
+        place = {"lat": 30 + start // 20 * 0.01, "lng": -120.0, "name": f"Place {start // 20}", "kind": "node"}
+        keys = range(start, start + 20)
+        entries = [{"spring": f"known_{k}", "entry": k, "refs": [own("old" if k % 12 else "node", k)], **place} for k in keys if k % 3 == 0]
+        want |= one_by_one([{"key": k, "refs": [own("node", k), own("way", k // 4)], **place} for k in keys if k % 2 == 0], entries)
+    assert got == want
+
+
+def test_no_large_table_is_broadcast(spark, monkeypatch):
+    """Files are a fraction of their rows, so Spark's estimate of the size would send them through the driver."""
+    frames = []
+    write = registry.written
+    monkeypatch.setattr(registry, "written", lambda df, label: frames.append((label, df)) or write(df, label))
+    rows = spark.range(400).select(F.col("id").alias("key"), F.array(F.concat(F.lit("node/"), F.col("id").cast("string"))).alias("refs"), (F.col("id") * 0.1).alias("lat"), F.lit(1.0).alias("lng"), F.lit("n").alias("name"), F.lit("node").alias("kind"))
+    out = registry.resolve(rows, rows.where("key % 3 = 0").withColumnRenamed("key", "entry").withColumn("spring", F.concat(F.lit("s"), F.col("entry").cast("string"))))
+    assert out.count() == 400
+    for label, frame in [*frames, ("result", out)]:
+        assert "Broadcast" not in frame._jdf.queryExecution().executedPlan().toString(), label
