@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from geoloom.operators import cluster, dedupe, spatial
+from geoloom.plans.queries import QUERIES
 
 
 def metres(a, b):
@@ -71,6 +72,22 @@ def test_copies_of_a_large_table_are_not_broadcast(spark):
     assert not broadcasts(dedupe.survivors(points))
 
 
+def final_plan(frame):
+    """The plan as it ran, with what Spark changed by the sizes it met."""
+    frame.collect()
+    return frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_sites_are_counted_without_their_sizes(spark):
+    """Counting clusters needs no size of each: the rows meet their labels in one join, in no broadcast, and no row without an id counts."""
+    frame = QUERIES["distinct_sites"](spark, "/root/testdata/sf0.001")
+    plan = final_plan(frame)
+    # points with their cells, cells with their hubs, hubs with their roots, points with their roots
+    assert plan.count("SortMergeJoin") == 4 and "Broadcast" not in plan
+    points = spark.createDataFrame([(1, 10.0, 20.0), (2, 10.001, 20.0), (3, None, 20.0), (None, 10.0, 20.0), (None, 10.0005, 20.0)], "id long, lat double, lng double")
+    assert sorted((r["id"], r["site"]) for r in cluster.labelled(points).where("id is not null").collect()) == [(1, 1), (2, 1), (3, 3)]
+
+
 @pytest.mark.parametrize(("lat", "lng"), [(0.0, 0.0), (-33.0, 179.999), (64.0, -20.0), (89.9, 0.0), (89.995, 0.0), (47.0, 8.0)])
 def test_either_side_can_be_spread(spark, lat, lng):
     rng = random.Random(str((lat, lng)))
