@@ -88,6 +88,11 @@ def test_sites_are_counted_without_their_sizes(spark):
     assert sorted((r["id"], r["site"]) for r in cluster.labelled(points).where("id is not null").collect()) == [(1, 1), (2, 1), (3, 3)]
 
 
+def test_mates_meet_without_a_broadcast(spark):
+    """The points that ask are a share of the table, so they grow with it."""
+    assert "Broadcast" not in final_plan(QUERIES["place_mates"](spark, "/root/testdata/sf0.001"))
+
+
 @pytest.mark.parametrize(("lat", "lng"), [(0.0, 0.0), (-33.0, 179.999), (64.0, -20.0), (89.9, 0.0), (89.995, 0.0), (47.0, 8.0)])
 def test_either_side_can_be_spread(spark, lat, lng):
     rng = random.Random(str((lat, lng)))
