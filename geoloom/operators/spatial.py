@@ -104,10 +104,10 @@ def nearest_anywhere(left: DataFrame, right: DataFrame, left_id: str, right_id:
 def gaps(left: DataFrame, right: DataFrame, radius_m: float, left_id: str, right_id: str) -> DataFrame:
     """(left_id, right_id, metres): left rows without a right row within ``radius_m`` (whole metres), and their nearest one, null if there is none.
 
-    Only rows that the radius leaves over look further.  A row without a position has no neighbour and no nearest one.
+    Only rows that the radius leaves over look further; they are found once and written.  A row without a position has no neighbour and no nearest one.
     """
-    alone = without_neighbour(left, right, radius_m).select(left_id, "lat", "lng")
-    return alone.select(left_id).join(nearest_anywhere(alone, right, left_id, right_id), left_id, "left")
+    alone = written(without_neighbour(left, right, radius_m).select(left_id, "lat", "lng"), "alone")
+    return alone.select(left_id).join(nearest_anywhere(alone, right, left_id, right_id).hint("merge"), left_id, "left")
 
 
 def box_join(points: DataFrame, boxes: DataFrame) -> DataFrame:

@@ -93,6 +93,13 @@ def test_mates_meet_without_a_broadcast(spark):
     assert "Broadcast" not in final_plan(QUERIES["place_mates"](spark, "/root/testdata/sf0.001"))
 
 
+def test_gaps_are_found_once(spark):
+    """The rows that the radius leaves over are not found anew to be named; only cells of the first levels are broadcast."""
+    plan = final_plan(QUERIES["gap_worklist"](spark, "/root/testdata/sf0.001"))
+    assert "LeftAnti" not in plan
+    assert plan.count("BroadcastExchange") <= 2
+
+
 @pytest.mark.parametrize(("lat", "lng"), [(0.0, 0.0), (-33.0, 179.999), (64.0, -20.0), (89.9, 0.0), (89.995, 0.0), (47.0, 8.0)])
 def test_either_side_can_be_spread(spark, lat, lng):
     rng = random.Random(str((lat, lng)))
