@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -715,3 +716,28 @@ def test_hot_keys_are_short(spark, monkeypatch):
     assert lm == {0: 2, 1: 2, 2: 2, 3: 3, 4: 1}
     tables = [x if isinstance(x, dict) else x.hot for x in sent if isinstance(x, (dict, lm_score.Lexicon))]
     assert len(tables) >= 2 and all(len(k or b"") <= 64 for t in tables for k in t)
+
+
+def test_near_copies_leave_no_scratch(spark):
+    """Shuffle files and tables go when they are spent, and texts that stay for sure are not shuffled."""
+    import corpus_pipeline
+    from geoloom.llm import common
+
+    files = lambda: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    before = files()
+    common.saved(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+    assert files() <= before
+    words = [f"w{i * 7919 % 1009}" for i in range(900)]
+    texts = [" ".join(words[i * 40 : i * 40 + 60]) for i in range(20)]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate([*texts, texts[3] + " end", texts[5]])] + [(7, texts[7], "en", "s", len(texts[7]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars int")
+    folder = common.shared_dir(spark).removeprefix("file://")
+    old = set(os.listdir(folder))
+    kept = corpus_pipeline.keep_one_copy(spark, docs, "")
+    made = {x.rpartition("-")[0].split("-")[0] for x in set(os.listdir(folder)) - old}
+    assert not made & {"sets", "pairs", "possible", "needed", "meetings", "groups"}
+    assert sorted(r["doc_id"] for r in kept.collect()) == list(range(20))
+    # only what the filter can't tell is dealt by its hash
+    keyed = docs.select("doc_id").withColumn("row", F.col("doc_id").cast("string"))
+    marks = common.marked_by(keyed, "row", common.row_bits(keyed.where("doc_id < 4"), "row"))
+    assert {r["doc_id"] for r in marks.where("_maybe").collect()} == {0, 1, 2, 3}
