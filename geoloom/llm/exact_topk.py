@@ -8,7 +8,8 @@ threshold on the cosine: above 1 the bucket is skipped; a high threshold prunes
 by coordinate (each candidate's coordinate must lie in the interval that the
 threshold leaves around the query's largest coordinates), a low one by length
 (only a prefix of the bucket is long enough).  What is left is verified by
-integer products.
+integer products: one by one where coordinates leave little, else a block of
+queries at once.  A task keeps some buckets, and a query's bound rises with what it finds there.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
-from .vectors import ANSWER_DDL, answer, best, blocks, meet, top, usable
+from .common import bounded_batches, saved
+from .vectors import ANSWER_DDL, SMALL_GROUPS, Leaders, answered, best, blocks, lanes, meet, usable
 
 BUCKET = 8192
 QUERY_BLOCK = 1024
@@ -30,6 +31,10 @@ FEW_LENGTHS = 16
 #: From this cosine on, coordinates prune better than lengths.
 COORDINATE_FROM = 0.5
 COORDINATES = 3
+#: Coordinates prune a query on its own where an interval is at most so much of the bucket's extent.
+SHARP = 0.25
+#: Queries whose products with a bucket are made at once.
+SLICE = 256
 #: Room for the rounding of lengths and quotients, relative.
 ROUNDING = 1e-9
 
@@ -75,6 +80,82 @@ def survivors(q: np.ndarray, bound: float, unit: np.ndarray, norms: np.ndarray)
     return kept
 
 
+class Bucket:
+    """A bucket as a task keeps it."""
+
+    def __init__(self, row: dict):
+        self.dim, self.ids, self.raw = row["dim"], np.frombuffer(row["ids"], "i8"), row["vectors"]
+        vectors = self.vectors()
+        self.norms = np.sqrt((vectors * vectors).sum(1))
+        unit = vectors / np.where(self.norms, self.norms, 1)[:, None]
+        self.low, self.high = unit.min(0), unit.max(0)
+
+    def vectors(self) -> np.ndarray:
+        return _open(self.raw, self.dim, len(self.ids))
+
+
+def sharp(q: np.ndarray, cosine: np.ndarray, bucket: Bucket) -> np.ndarray:
+    """Whether coordinates leave a small part of the bucket to these queries (of length 1)."""
+    narrow = np.zeros(len(q), bool)
+    for f in np.argsort(-np.abs(q), axis=1)[:, :COORDINATES].T:
+        d = q[np.arange(len(q)), f]
+        middle, reach = cosine * d, np.sqrt(np.maximum(0, 1 - cosine**2) * np.maximum(0, 1 - d * d))
+        low, high = np.where(d < -cosine, -1.0, middle - reach), np.where(d > cosine, 1.0, middle + reach)
+        left = np.minimum(high, bucket.high[f]) - np.maximum(low, bucket.low[f])
+        narrow |= left <= SHARP * (bucket.high[f] - bucket.low[f])
+    return narrow
+
+
+def verify(bucket: Bucket, q: np.ndarray, q_ids: np.ndarray, bounds: np.ndarray, found: Leaders) -> None:
+    """Enter what the bucket has for the queries that may find something there."""
+    vectors, norms, ids = bucket.vectors(), bucket.norms, bucket.ids
+    lengths = np.sqrt((q * q).sum(1))
+    # partial sums of whole numbers are at most the product of the lengths
+    most = norms[0] * lengths.max(initial=0) * (1 + ROUNDING)
+    kind = "f4" if most < 2**24 else "f8"
+    floor = np.maximum(bounds, found.least)
+    if most >= 2**53:  # not exact: one product may be rounded in another way than the bound
+        floor = np.where(np.isfinite(floor), floor - most * 1e-12, floor)
+    positive = floor > 0
+    with np.errstate(divide="ignore", invalid="ignore"):
+        cosine = np.where(positive, floor / (lengths * norms[0]) * (1 - ROUNDING), -1.0)
+        shortest = np.where(positive, floor / lengths * (1 - ROUNDING), 0.0)
+    prefix = np.where(positive, np.searchsorted(-norms, -shortest, side="right"), len(norms))
+    open_ = ~(cosine > 1) & (prefix > 0) & ((lengths > 0) | ~positive)
+    alone = np.zeros(len(q), bool)
+    steep = np.flatnonzero(open_ & positive & (cosine >= COORDINATE_FROM))
+    if len(steep):
+        alone[steep] = sharp(q[steep] / lengths[steep, None], cosine[steep], bucket)
+    if alone.any():
+        unit = vectors / np.where(norms, norms, 1)[:, None]
+    single = []
+    for i in np.flatnonzero(alone).tolist():
+        kept = survivors(q[i], floor[i], unit, norms)
+        kept = kept[ids[kept] != q_ids[i]]
+        # products of integers below 2^53 are exact in doubles
+        scores = vectors[kept] @ q[i]
+        kept, scores = kept[scores >= floor[i]], scores[scores >= floor[i]]
+        single.append((np.full(len(kept), i), ids[kept], scores))
+    if single:
+        found.add(*(np.concatenate(x) for x in zip(*single, strict=True)))
+    rest = np.flatnonzero(open_ & ~alone)
+    if not len(rest):
+        return
+    short = vectors[: prefix[rest].max()].astype(kind)
+    for at in range(0, len(rest), SLICE):
+        part = rest[at : at + SLICE]
+        scores = q[part].astype(kind) @ short.T
+        enough = scores >= floor[part, None].astype(kind)
+        if enough.sum() > 64 * found.k * len(part):  # no bound yet, or a low one
+            scores[ids[None, : len(short)] == q_ids[part, None]] = -np.inf
+            if len(short) > found.k:
+                enough &= scores >= np.partition(scores, len(short) - found.k, axis=1)[:, len(short) - found.k, None]
+        i, j = np.nonzero(enough)
+        other = ids[j] != q_ids[part[i]]
+        i, j = i[other], j[other]
+        found.add(part[i], ids[j], scores[i, j])
+
+
 def search(queries: DataFrame, base: DataFrame, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score (long) of each query's ``k`` highest products.
 
@@ -93,7 +174,7 @@ def search(queries: DataFrame, base: DataFrame, k: int = 5) -> DataFrame:
     count = max(1, -(-n // BUCKET))
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     ordered = base.repartitionByRange(count, norm.desc(), F.xxhash64("vec_id"))
-    buckets = saved(blocks(ordered, BUCKET, "block long, dim int, n int, longest double, ids binary, vectors binary", _bucket), "buckets")
+    buckets = saved(blocks(ordered, BUCKET, "block long, dim int, n int, longest double, ids binary, vectors binary", _bucket), "buckets", **SMALL_GROUPS)
     asked = queries.dropDuplicates(["vec_id", "v"]).coalesce(max(1, -(-n // (QUERY_BLOCK * 64))))
     asked = blocks(asked, QUERY_BLOCK, "q_block long, dim int, q_ids binary, q_vectors binary", _queries)
 
@@ -113,35 +194,22 @@ def search(queries: DataFrame, base: DataFrame, k: int = 5) -> DataFrame:
 
     # one bucket of at most BUCKET rows per vector length: a few lengths are small enough to broadcast
     firsts = buckets.groupBy("dim").agg(F.max_by("block", F.struct("longest", -F.col("block"))).alias("block"))
-    first = buckets.join(firsts, ["dim", "block"]).select("dim", "ids", "vectors")
-    if firsts.count() <= FEW_LENGTHS:
-        first = F.broadcast(first)
-    seeded = saved(asked.join(first, "dim").select("q_block", "dim", "q_ids", "q_vectors", "ids", "vectors").mapInArrow(seed, "q_block long, dim int, q_ids binary, q_vectors binary, bounds binary"), "seeded")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids = np.frombuffer(row["ids"], "i8")
-                vectors = _open(row["vectors"], row["dim"], len(ids))
-                q_ids = np.frombuffer(row["q_ids"], "i8")
-                q = _open(row["q_vectors"], row["dim"], len(q_ids))
-                bounds = np.frombuffer(row["bounds"], "f8")
-                norms = np.sqrt((vectors * vectors).sum(1))
-                unit = vectors / np.where(norms, norms, 1)[:, None]
-                out = []
-                for i in range(len(q)):
-                    kept = survivors(q[i], bounds[i], unit, norms)
-                    kept = kept[ids[kept] != q_ids[i]]
-                    # products of integers below 2^53 are exact in doubles
-                    scores = vectors[kept] @ q[i]
-                    near = top(scores, ids[kept], k)
-                    near = near[scores[near] >= bounds[i]]
-                    out.append((row["q_block"] * QUERY_BLOCK + i, q_ids[i], ids[kept][near], scores[near]))
-                yield answer(out, "i8")
-
-    lanes = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pairs = meet(seeded, buckets, lanes).select("dim", "ids", "vectors", "q_block", "q_ids", "q_vectors", "bounds")
-    return best(pairs.mapInArrow(verify, ANSWER_DDL + "long"), k)
+    few = firsts.count() <= FEW_LENGTHS
+    told = F.broadcast if few else lambda df: df
+    first = told(buckets.join(told(firsts), ["dim", "block"]).select("dim", "ids", "vectors"))
+    pairs = asked.join(first, "dim").select("q_block", "dim", "q_ids", "q_vectors", "ids", "vectors")
+    seeded = saved(bounded_batches(pairs).mapInArrow(seed, "q_block long, dim int, q_ids binary, q_vectors binary, bounds binary"), "seeded", **SMALL_GROUPS)
+
+    def ask(held: list[Bucket], row: dict) -> pa.RecordBatch:
+        q_ids = np.frombuffer(row["q_ids"], "i8")
+        q = _open(row["q_vectors"], row["dim"], len(q_ids))
+        found = Leaders(len(q), k)
+        for bucket in held:
+            verify(bucket, q, q_ids, np.frombuffer(row["bounds"], "f8"), found)
+        return found.answer(row["q_block"] * QUERY_BLOCK, q_ids, "i8")
+
+    met = meet(seeded, buckets.select("block", "dim", "ids", "vectors"), lanes(spark, n, BUCKET))
+    return best(met.mapInArrow(lambda batches: answered(batches, Bucket, ask), ANSWER_DDL + "long"), k)
 
 
 def integer_vectors(table: DataFrame, scale: int = 256) -> DataFrame:

@@ -6,11 +6,13 @@ three scalars: its length, the product of the unit vector with its code, and
 its product with the mean.  For a query the packed bits and the scalars give an
 unbiased estimate of the inner product and an error bound; a vector is ranked
 again by its exact product only if estimate plus bound reaches the k-th
-best estimate minus bound of its block.
+best estimate minus bound of its block, in the first block a task sees for the
+query; in later ones, if estimate plus ``LATER`` bounds reaches the k-th best product so far.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,13 +21,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved
-from .vectors import ANSWER_DDL, answer, best, blocks, matrix, meet, top, usable
+from .vectors import ANSWER_DDL, SMALL_GROUPS, Leaders, answered, best, blocks, lanes, matrix, meet, usable
 
 BLOCK = 8192
 QUERY_BLOCK = 1024
 SEED = 7
 #: Width of the error bound in standard deviations of the estimate.
 EPSILON = 1.9
+#: Queries whose products with a block are estimated at once, and vectors ranked again at once.
+SLICE = 128
+AGAIN = 1 << 14
+#: How many error bounds an estimate may lie below a product that is known.
+LATER = 1.5
+#: Room for the rounding of products of vectors of length 1 in 32 bits.
+ROUNDING = 1e-4
 
 
 def code_bits(dim: int) -> int:
@@ -33,6 +42,7 @@ def code_bits(dim: int) -> int:
     return -(-2 * dim // 8) * 8
 
 
+@functools.lru_cache(4)
 def rotation(dim: int) -> np.ndarray:
     """``code_bits`` orthonormal columns' first ``dim`` rows: the same in every task."""
     bits = code_bits(dim)
@@ -86,15 +96,14 @@ def _open(raw: bytes, dim: int, count: int) -> np.ndarray:
     return np.frombuffer(raw, "<f4" if len(raw) == 4 * dim * count else "<f8").reshape(-1, dim).astype("f8")
 
 
-def estimate(q: np.ndarray, mean: np.ndarray, codes: np.ndarray, scalars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(queries x vectors) estimates of the inner products, and their error bounds."""
+def estimate(q: np.ndarray, mean: np.ndarray, ones: np.ndarray, scalars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(queries x vectors) estimates of the inner products, and their error bounds; ``ones``: the codes' bits as floats."""
     dim = len(mean)
     bits = code_bits(dim)
     turned = q @ rotation(dim)
     size = np.sqrt((turned * turned).sum(1))[:, None]
     # the products with the bits are of unit length, so 32 bits do for vectors of any length
     unit = (turned / np.where(size, size, 1)).astype("f4")
-    ones = np.unpackbits(codes, axis=1).astype("f4")
     # signs are 2 * bit - 1
     signed = (2 * (unit @ ones.T) - unit.sum(1)[:, None]) / np.float32(np.sqrt(bits))
     length, fit = scalars[:, 0], scalars[:, 1]
@@ -118,38 +127,51 @@ def search(queries: DataFrame, base: DataFrame, k: int = 20) -> DataFrame:
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     means = mean_vectors(base)
-    codes = saved(index(base.coalesce(max(1, -(-n // BLOCK))), means), "codes")
+    codes = saved(index(base.coalesce(max(1, -(-n // BLOCK))), means), "codes", **SMALL_GROUPS)
     asked = queries.dropDuplicates(["vec_id", "v"]).coalesce(max(1, -(-n // (QUERY_BLOCK * 32))))
     asked = blocks(asked, QUERY_BLOCK, "q_block long, dim int, q_ids binary, q_vectors binary", lambda ids, v: (v.shape[1], ids.tobytes(), _pack(v)))
     # written, so that a block has one number in every attempt of a task
-    asked = saved(asked, "queries")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                dim = row["dim"]
-                ids = np.frombuffer(row["ids"], "i8")
-                vectors = _open(row["vectors"], dim, len(ids))
-                bits, scalars = np.frombuffer(row["codes"], "u1").reshape(len(ids), -1), np.frombuffer(row["scalars"], "<f8").reshape(-1, 2)
-                q_ids = np.frombuffer(row["q_ids"], "i8")
-                q = _open(row["q_vectors"], dim, len(q_ids))
-                out = []
-                for at in range(0, len(q), 128):
-                    value, bound = estimate(q[at : at + 128], means[dim], bits, scalars)
-                    value[ids[None, :] == q_ids[at : at + 128, None]] = -np.inf
-                    for i in range(len(value)):
-                        least = value[i] - bound[i]
-                        least = np.partition(least, len(least) - k)[len(least) - k] if len(least) > k else -np.inf
-                        near = np.flatnonzero((value[i] + bound[i] >= least) & (value[i] > -np.inf))
-                        # summed row by row: equal vectors have equal scores
-                        scores = (vectors[near] * q[at + i]).sum(1)
-                        found = top(scores, ids[near], k)
-                        out.append((row["q_block"] * QUERY_BLOCK + at + i, q_ids[at + i], ids[near][found], scores[found]))
-                yield answer(out, "f8")
-
-    lanes = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pairs = meet(asked, codes, lanes).select("dim", "ids", "codes", "scalars", "vectors", "q_block", "q_ids", "q_vectors")
-    return best(pairs.mapInArrow(run, ANSWER_DDL + "double"), k)
+    asked = saved(asked, "queries", **SMALL_GROUPS)
+
+    def load(row: dict):
+        ids = np.frombuffer(row["ids"], "i8")
+        return ids, np.frombuffer(row["codes"], "u1").reshape(len(ids), -1), np.frombuffer(row["scalars"], "<f8").reshape(-1, 2), row["vectors"]
+
+    def ask(held: list, row: dict) -> pa.RecordBatch:
+        dim = row["dim"]
+        q_ids = np.frombuffer(row["q_ids"], "i8")
+        q = _open(row["q_vectors"], dim, len(q_ids))
+        found = Leaders(len(q), k)
+        lengths = np.sqrt((q * q).sum(1))
+        unit = (q / lengths[:, None]).astype("f4")
+        for ids, codes, scalars, raw in held:
+            vectors, ones = _open(raw, dim, len(ids)), np.unpackbits(codes, axis=1).astype("f4")
+            longest = float(np.sqrt((vectors * vectors).sum(1).max()))
+            short = (vectors / longest).astype("f4")
+            for at in range(0, len(q), SLICE):
+                value, bound = estimate(q[at : at + SLICE], means[dim], ones, scalars)
+                value[ids[None, :] == q_ids[at : at + SLICE, None]] = -np.inf
+                least = found.least[at : at + SLICE]
+                near = value + LATER * bound >= least[:, None]
+                fresh = np.flatnonzero(least == -np.inf)
+                if len(fresh):
+                    low = value[fresh] - bound[fresh]
+                    low = np.partition(low, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(fresh), -np.inf)
+                    near[fresh] = value[fresh] + bound[fresh] >= low[:, None]
+                i, j = np.nonzero(near & (value > -np.inf))
+                for x in range(0, len(i), AGAIN):
+                    a, b = i[x : x + AGAIN] + at, j[x : x + AGAIN]
+                    # 32 bits tell most of those that are below the k-th best
+                    kept = np.einsum("ij,ij->i", short[b], unit[a]) >= found.least[a] / (lengths[a] * longest) - ROUNDING
+                    a, b = a[kept], b[kept]
+                    # summed row by row: equal vectors have equal scores
+                    scores = (vectors[b] * q[a]).sum(1)
+                    kept = scores >= found.least[a]
+                    found.add(a[kept], ids[b[kept]], scores[kept])
+        return found.answer(row["q_block"] * QUERY_BLOCK, q_ids, "f8")
+
+    met = meet(asked, codes, lanes(spark, n, BLOCK))
+    return best(met.mapInArrow(lambda batches: answered(batches, load, ask), ANSWER_DDL + "double"), k)
 
 
 def searchable(table: DataFrame) -> DataFrame:

@@ -10,8 +10,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches
+
 #: Stands for a null id inside blocks, so null ids come first among ties.
 NO_ID = -(2**63)
+#: Base blocks that a task holds while the query blocks pass.
+LANE_BLOCKS = 32
+#: For files of blocks: Parquet else takes a hundred rows, of megabytes each, before it looks at their size.
+SMALL_GROUPS = {"parquet.page.size.row.check.min": "1", "parquet.block.size": str(8 << 20)}
 
 
 def usable(table: DataFrame, nonzero: bool = False) -> DataFrame:
@@ -67,15 +73,39 @@ def blocks(rows: DataFrame, size: int, fields: str, make) -> DataFrame:
     return rows.select("vec_id", "v").mapInArrow(run, schema)
 
 
-def meet(queries: DataFrame, base: DataFrame, lanes: int) -> DataFrame:
-    """Every query block beside every base block of its length, by an equi-join.
+def lanes(spark, n: int, size: int) -> int:
+    """Into how many lanes ``n`` base vectors in blocks of ``size`` are dealt: enough for all cores, no more than that calls for or the blocks a task may hold."""
+    count = -(-n // size)
+    return max(-(-count // LANE_BLOCKS), min(count, 4 * spark.sparkContext.defaultParallelism), 1)
+
+
+def meet(queries: DataFrame, base: DataFrame, count: int) -> DataFrame:
+    """Rows of a stream, sorted, in which the base blocks of a lane and length come first, then all query blocks of that length.
 
-    Base blocks are dealt to ``lanes`` by hash and are sent once; the query
-    blocks are copied to each lane.
+    Base blocks are dealt to ``count`` lanes and are sent once; the query blocks are
+    copied to each lane.  No row holds both, so a task keeps its lane's blocks (about
+    ``LANE_BLOCKS``) and sees each query block once.
     """
-    lane: Column = F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int")
-    copies = queries.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
-    return base.withColumn("lane", lane).join(copies, ["lane", "dim"])
+    # blocks are numbered by partition and place: neighbours go to different lanes
+    lane: Column = F.pmod(F.shiftright("block", 32) + F.col("block").bitwiseAND((1 << 32) - 1), F.lit(count)).cast("int")
+    dealt = base.withColumn("lane", lane).withColumn("asks", F.lit(False))
+    copies = queries.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).withColumn("asks", F.lit(True))
+    both = dealt.unionByName(copies, allowMissingColumns=True)
+    # more partitions than lanes: few tasks get two of them
+    return bounded_batches(both.repartition(4 * count, "lane", "dim").sortWithinPartitions("lane", "dim", "asks", "block"))
+
+
+def answered(batches: Iterator[pa.RecordBatch], load, ask) -> Iterator[tuple]:
+    """What ``ask(blocks, row)`` returns for each query row of ``meet``; ``blocks``: ``load(row)`` of its lane's base rows."""
+    held, where = [], None
+    for batch in batches:
+        for row in batch.to_pylist():
+            if where != (row["lane"], row["dim"]):
+                held, where = [], (row["lane"], row["dim"])
+            if not row["asks"]:
+                held.append(load(row))
+            elif held:
+                yield ask(held, row)
 
 
 def best(found: DataFrame, k: int) -> DataFrame:
@@ -89,24 +119,31 @@ def best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
-def answer(rows: list[tuple[int, int, np.ndarray, np.ndarray]], kind) -> pa.RecordBatch:
-    """(query number, query id, vec ids, scores) of each query as one batch."""
-    counts = [len(ids) for _, _, ids, _ in rows]
-    queries, query_ids = (np.repeat(np.array([r[i] for r in rows], "i8"), counts) for i in (0, 1))
-    ids, scores = (np.concatenate([r[i] for r in rows]) if rows else np.zeros(0) for i in (2, 3))
-    named = lambda x: pa.array(x.astype("i8"), mask=x == NO_ID)
-    return pa.record_batch([pa.array(queries), named(query_ids), named(ids), pa.array(scores.astype(kind))], names=["query", "query_id", "vec_id", "score"])
+class Leaders:
+    """The ``k`` best found so far of each of ``n`` queries; ties to smaller ids."""
 
+    def __init__(self, n: int, k: int):
+        self.k = k
+        self.query, self.ids, self.scores = np.zeros(0, "i8"), np.zeros(0, "i8"), np.zeros(0)
+        #: The k-th best score, where there are as many.
+        self.least = np.full(n, -np.inf)
 
-#: What ``answer`` returns, before the type of the score.
-ANSWER_DDL = "query long, query_id long, vec_id long, score "
+    def add(self, query: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        if not len(query):
+            return
+        query, ids, scores = (np.concatenate(x) for x in ((self.query, query), (self.ids, ids), (self.scores, scores.astype("f8"))))
+        order = np.lexsort((ids, -scores, query))
+        rank = np.arange(len(order)) - np.searchsorted(query[order], query[order])
+        order, rank = order[rank < self.k], rank[rank < self.k]
+        self.query, self.ids, self.scores = query[order], ids[order], scores[order]
+        full = rank == self.k - 1
+        self.least[self.query[full]] = self.scores[full]
+
+    def answer(self, first: int, query_ids: np.ndarray, kind: str) -> pa.RecordBatch:
+        """(query, query_id, vec_id, score) of all; queries are numbered from ``first``."""
+        named = lambda x: pa.array(x, mask=x == NO_ID)
+        return pa.record_batch([pa.array(first + self.query), named(query_ids[self.query]), named(self.ids), pa.array(self.scores.astype(kind))], names=["query", "query_id", "vec_id", "score"])
 
 
-def top(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the ``k`` highest scores, ties to smaller ids."""
-    if len(scores) > k:
-        least = np.partition(scores, len(scores) - k)[len(scores) - k]
-        near = np.flatnonzero(scores >= least)
-    else:
-        near = np.arange(len(scores))
-    return near[np.lexsort((ids[near], -scores[near]))[:k]]
+#: What ``Leaders.answer`` returns, before the type of the score.
+ANSWER_DDL = "query long, query_id long, vec_id long, score "

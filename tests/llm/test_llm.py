@@ -365,6 +365,18 @@ def test_equal_vectors_go_by_id(spark):
     got = one_bit.search(table.where("vec_id = 0"), table, 20).orderBy("rank").collect()
     assert [r["vec_id"] for r in got] == list(range(1, 21)) and len({r["score"] for r in got}) == 1
 
+def test_search_rows_stay_small(spark):
+    """A base block is sent once, a query block once a lane, and no row holds both; lanes don't follow the shuffle partitions."""
+    from geoloom.llm import vectors as v
+
+    base = spark.createDataFrame([((p << 32) + i, 2, b"b") for p in range(10) for i in range(4)], "block long, dim int, vectors binary")
+    asked = spark.createDataFrame([(q, 2, b"q") for q in range(3)], "q_block long, dim int, q_vectors binary")
+    met = v.meet(asked, base, 5).collect()
+    assert sorted(r["block"] for r in met if not r["asks"]) == sorted(r["block"] for r in base.collect())
+    assert sorted((r["lane"], r["q_block"]) for r in met if r["asks"]) == [(x, q) for x in range(5) for q in range(3)]
+    assert not any(r["vectors"] and r["q_vectors"] for r in met)
+    assert v.lanes(spark, 15_000_000, 8192) <= max(58, 4 * spark.sparkContext.defaultParallelism)
+
 
 def test_searches_of_nothing(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
