@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved
-from .vectors import ANSWER_DDL, SMALL_GROUPS, Leaders, answered, best, blocks, lanes, matrix, meet, usable
+from .vectors import ANSWER_DDL, SMALL_GROUPS, Leaders, answered, best, blocks, lanes, leading, matrix, meet, usable
 
 BLOCK = 8192
 QUERY_BLOCK = 1024
@@ -159,6 +159,7 @@ def search(queries: DataFrame, base: DataFrame, k: int = 20) -> DataFrame:
                     low = np.partition(low, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(fresh), -np.inf)
                     near[fresh] = value[fresh] + bound[fresh] >= low[:, None]
                 i, j = np.nonzero(near & (value > -np.inf))
+                parts = []
                 for x in range(0, len(i), AGAIN):
                     a, b = i[x : x + AGAIN] + at, j[x : x + AGAIN]
                     # 32 bits tell most of those that are below the k-th best
@@ -167,7 +168,9 @@ def search(queries: DataFrame, base: DataFrame, k: int = 20) -> DataFrame:
                     # summed row by row: equal vectors have equal scores
                     scores = (vectors[b] * q[a]).sum(1)
                     kept = scores >= found.least[a]
-                    found.add(a[kept], ids[b[kept]], scores[kept])
+                    parts.append(leading(a[kept], ids[b[kept]], scores[kept], k))
+                if parts:
+                    found.add(*(np.concatenate(x) for x in zip(*parts, strict=True)))
         return found.answer(row["q_block"] * QUERY_BLOCK, q_ids, "f8")
 
     met = meet(asked, codes, lanes(spark, n, BLOCK))

@@ -119,6 +119,13 @@ def best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 
 
+def leading(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` highest scores of each query, ties to smaller ids, sorted by query and place."""
+    order = np.lexsort((ids, -scores, query))
+    order = order[np.arange(len(order)) - np.searchsorted(query[order], query[order]) < k]
+    return query[order], ids[order], scores[order]
+
+
 class Leaders:
     """The ``k`` best found so far of each of ``n`` queries; ties to smaller ids."""
 
@@ -131,12 +138,9 @@ class Leaders:
     def add(self, query: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
         if not len(query):
             return
-        query, ids, scores = (np.concatenate(x) for x in ((self.query, query), (self.ids, ids), (self.scores, scores.astype("f8"))))
-        order = np.lexsort((ids, -scores, query))
-        rank = np.arange(len(order)) - np.searchsorted(query[order], query[order])
-        order, rank = order[rank < self.k], rank[rank < self.k]
-        self.query, self.ids, self.scores = query[order], ids[order], scores[order]
-        full = rank == self.k - 1
+        both = (np.concatenate(x) for x in ((self.query, query), (self.ids, ids), (self.scores, scores.astype("f8"))))
+        self.query, self.ids, self.scores = leading(*both, self.k)
+        full = np.arange(len(self.query)) - np.searchsorted(self.query, self.query) == self.k - 1
         self.least[self.query[full]] = self.scores[full]
 
     def answer(self, first: int, query_ids: np.ndarray, kind: str) -> pa.RecordBatch:

@@ -378,6 +378,18 @@ def test_search_rows_stay_small(spark):
     assert v.lanes(spark, 15_000_000, 8192) <= max(58, 4 * spark.sparkContext.defaultParallelism)
 
 
+def test_block_files_are_cut_by_bytes(spark):
+    """Few rows of megabytes each don't become one row group, which is read and written as a whole."""
+    import pyarrow.parquet as pq
+
+    from geoloom.llm.common import saved
+    from geoloom.llm.vectors import SMALL_GROUPS
+
+    made = saved(spark.createDataFrame([(i, os.urandom(1 << 20)) for i in range(24)], "block long, codes binary").coalesce(1), "codes", **SMALL_GROUPS)
+    groups = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in made.inputFiles()]
+    assert max(m.row_group(i).num_rows for m in groups for i in range(m.num_row_groups)) <= 9
+
+
 def test_searches_of_nothing(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert exact_topk.search(exact_topk.integer_vectors(none), exact_topk.integer_vectors(none)).count() == 0
